@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import near_dedup
+from sigloom.llm import line_dedup, near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_winnowing_line_dedup": line_dedup.op2_winnowing_line_dedup,
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_winnowing_line_dedup": line_dedup.SQL,
+    }
