@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import line_dedup, near_dedup
+from sigloom.llm import line_dedup, mixing, near_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,14 @@ def queries() -> dict[str, Query]:
     return {
         "op2_winnowing_line_dedup": line_dedup.op2_winnowing_line_dedup,
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
+        "op8_risk_controlled_quality_rules": quality_rules.op8_risk_controlled_quality_rules,
+        "op9_weighted_fair_mixing": mixing.op9_weighted_fair_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_winnowing_line_dedup": line_dedup.SQL,
+        "op8_risk_controlled_quality_rules": quality_rules.SQL,
+        "op9_weighted_fair_mixing": mixing.SQL,
     }
