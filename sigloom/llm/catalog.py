@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import line_dedup, mixing, near_dedup, quality_rules
+from sigloom.llm import bpe, line_dedup, mixing, near_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_winnowing_line_dedup": line_dedup.op2_winnowing_line_dedup,
+        "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
         "op8_risk_controlled_quality_rules": quality_rules.op8_risk_controlled_quality_rules,
         "op9_weighted_fair_mixing": mixing.op9_weighted_fair_mixing,
