@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import bpe, line_dedup, mixing, near_dedup, quality_rules
+from sigloom.llm import bpe, cotraining, line_dedup, mixing, near_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_cotrained_quality": cotraining.op1_cotrained_quality,
         "op2_winnowing_line_dedup": line_dedup.op2_winnowing_line_dedup,
         "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
