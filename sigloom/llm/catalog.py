@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import bpe, cotraining, line_dedup, mixing, near_dedup, quality_rules
+from sigloom.llm import bpe, cotraining, fingerprints, line_dedup, mixing, near_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
         "op8_risk_controlled_quality_rules": quality_rules.op8_risk_controlled_quality_rules,
         "op9_weighted_fair_mixing": mixing.op9_weighted_fair_mixing,
+        "op10_paragraph_fingerprints": fingerprints.op10_paragraph_fingerprints,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_winnowing_line_dedup": line_dedup.SQL,
         "op8_risk_controlled_quality_rules": quality_rules.SQL,
         "op9_weighted_fair_mixing": mixing.SQL,
+        "op10_paragraph_fingerprints": fingerprints.SQL,
     }
