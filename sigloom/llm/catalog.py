@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import bpe, cotraining, fingerprints, line_dedup, mixing, near_dedup, quality_rules, toxicity, url_model
+from sigloom.llm import bpe, cotraining, fingerprints, line_dedup, mixing, near_dedup, quality_rules, secrets, toxicity, url_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_cotrained_quality": cotraining.op1_cotrained_quality,
         "op2_winnowing_line_dedup": line_dedup.op2_winnowing_line_dedup,
         "op3_url_language_model": url_model.op3_url_language_model,
+        "op4_grammar_secret_scan": secrets.op4_grammar_secret_scan,
         "op5_boosted_toxicity": toxicity.op5_boosted_toxicity,
         "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
