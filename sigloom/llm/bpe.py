@@ -2,11 +2,12 @@
 
 A text is split into words by the vocabulary's pattern. A word's bytes are folded: in each step the adjacent pair of least rank,
 the first of equals, is merged, until no pair has a rank; ranks come from a literal map, laid out as hash buckets so that a look-up
-reads about two entries. Words recur, so those in most documents are folded once: the commonest ``DICTIONARY`` distinct words are
-encoded as a table of their own and are then a second literal; its size is bounded, whatever the input. All other words are folded
-where they stand, and nothing but word counts is shuffled. Decoding looks up the binary pieces and concatenates them.
+reads about two entries. Words recur, so they are counted over all documents and each distinct word is folded once. The folded
+words, or the commonest of them up to ``DICTIONARY`` if there are more, are packed and broadcast; words beyond that bound are folded
+where they stand. Nothing but distinct words is shuffled. Decoding looks up the binary pieces and concatenates them.
 
-A fold of n bytes looks up about n * n / 2 pairs; words of more than ``LONG`` bytes go through an Arrow function that keeps the pairs in a heap.
+Splitting is whole-array arithmetic on code points. A fold of n bytes looks up about n * n / 2 pairs, so words of more than
+``LONG`` bytes, which the splitter meets anyway, are merged there with the pairs in a heap.
 """
 
 from __future__ import annotations
@@ -14,20 +15,23 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import unicodedata
+import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from sigloom.session import table
+from sigloom.llm.words import stretches
+from sigloom.session import cut, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Java's form of the public pattern: (?U) makes white space Unicode's.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-DICTIONARY, LONG, BUCKETS = 100_000, 64, 32768
-_NONE = 2147483647
+DICTIONARY, LONG, BUCKETS = 2_000_000, 64, 65536
 
 
 @lru_cache(maxsize=4)
@@ -37,26 +41,22 @@ def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def _bucket(key: bytes) -> int:
-    signed = xxhash.xxh64_intdigest(key, seed=42)
+def _bucket(key: str) -> int:
+    signed = xxhash.xxh64_intdigest(key.encode(), seed=42)
     return (signed - (1 << 64) if signed >= 1 << 63 else signed) % BUCKETS
 
 
-def _buckets(entries: list[tuple[bytes, object]], binary: bool) -> str:
+@lru_cache(maxsize=4)
+def _rank_json(path: str) -> str:
     rows: list[dict | None] = [None] * BUCKETS
-    for key, value in entries:
+    for piece, rank in ranks(path).items():
+        key = piece.decode("latin1")
         b = _bucket(key)
-        row = rows[b] = rows[b] or {"k": [], "v": []}
-        row["k"].append(base64.b64encode(key).decode() if binary else key.decode())
-        row["v"].append(value)
+        row = rows[b] = rows[b] or {}
+        row[key] = rank
     return json.dumps(rows, separators=(",", ":"))
 
 
-@lru_cache(maxsize=4)
-def _rank_json(path: str) -> str:
-    return _buckets(list(ranks(path).items()), True)
-
-
 @lru_cache(maxsize=4)
 def _piece_json(path: str) -> str:
     found = ranks(path)
@@ -67,13 +67,13 @@ def _piece_json(path: str) -> str:
 
 
 def _rank_map(path: str) -> Column:
-    return F.from_json(F.lit(_rank_json(path)), "array<struct<k:array<binary>,v:array<int>>>")
+    """The literal map of pieces to ranks, in hash buckets; a byte is written as the character of its number."""
+    return F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>")
 
 
-def _find(buckets: Column, key: Column) -> Column:
-    """The value of key, or null."""
-    bucket = buckets[F.pmod(F.xxhash64(key), F.lit(BUCKETS))]
-    return F.get(bucket["v"], F.array_position(bucket["k"], key).cast("int") - 1)
+def _find(rank_map: Column, key: Column) -> Column:
+    """The rank of key, or null."""
+    return F.try_element_at(F.get(rank_map, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")), key)
 
 
 def _let(value: Column, then) -> Column:  # noqa: ANN001
@@ -82,25 +82,40 @@ def _let(value: Column, then) -> Column:  # noqa: ANN001
 
 
 def fold(word: Column, rank_map: Column) -> Column:
-    """Token ids of one word."""
-    raw = word.cast("binary")
-    size = F.octet_length(word)
+    """Token ids of one word of a byte at least.
+
+    The state is s, where the pieces start, with the end; and r, the ranks of adjacent pairs, behind a null that stands for the pair
+    before the first. A step takes the second piece's start of the best pair away and finds the ranks of the two pairs beside it.
+    """
+
+    def go(raw: Column) -> Column:
+        size = F.length(raw)
+
+        def pair(s: Column, a: Column, b: Column) -> Column:
+            return _find(rank_map, F.substring(raw, F.get(s, a), F.get(s, b) - F.get(s, a)))
 
-    def step(state: Column, _: Column) -> Column:
-        p = state["p"]
-        pair = F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.coalesce(_find(rank_map, F.concat(a, b)), F.lit(_NONE)))
+        def step(state: Column, _: Column) -> Column:
+            s, r = state["s"], state["r"]
 
-        def merge(found: Column) -> Column:
-            least = F.array_min(found)
-            at = F.array_position(found, least).cast("int")
-            merged = F.concat(F.slice(p, 1, at - 1), F.array(F.concat(p[at - 1], p[at])), F.slice(p, at + 2, F.size(p)))
-            return F.when(least == _NONE, F.struct(p.alias("p"), F.lit(True).alias("done"))).otherwise(F.struct(merged.alias("p"), F.lit(False).alias("done")))
+            def merge(at: Column) -> Column:
+                def beside(left: Column) -> Column:
+                    both = F.array(pair(left, at - 3, at - 1), pair(left, at - 2, at))
+                    return F.struct(left.alias("s"), F.concat(F.slice(r, F.lit(1), at - 2), both, F.slice(r, at + 2, F.lit(LONG))).alias("r"))
 
-        return F.when(state["done"], state).otherwise(_let(pair, merge))
+                return F.when(at.isNull(), state).otherwise(_let(F.array_remove(s, F.get(s, at - 1)), beside))
 
-    start = F.struct(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(raw, i, F.lit(1))).alias("p"), (size < 2).alias("done"))
-    pieces = F.aggregate(F.sequence(F.lit(1), size), start, step, lambda s: s["p"])
-    return _let(_find(rank_map, raw), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(pieces, lambda x: _find(rank_map, x))))
+            return _let(F.array_position(r, F.array_min(r)).cast("int"), merge)
+
+        pairs = F.transform(F.sequence(F.lit(1), size), lambda i: F.when(i < size, _find(rank_map, F.substring(raw, i, F.lit(2)))))
+        start = F.struct(F.sequence(F.lit(1), size + 1).alias("s"), F.concat(F.array(F.lit(None).cast("int")), pairs).alias("r"))
+
+        def ids(state: Column) -> Column:
+            s = state["s"]
+            return F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda a, i: _find(rank_map, F.substring(raw, a, F.get(s, i + 1) - a)))
+
+        return F.aggregate(F.sequence(F.lit(1), size), start, step, ids)
+
+    return _let(F.decode(word.cast("binary"), "ISO-8859-1"), go)
 
 
 def merge_long(word: bytes, found: dict[bytes, int]) -> list[int]:
@@ -133,28 +148,201 @@ def merge_long(word: bytes, found: dict[bytes, int]) -> list[int]:
     return [found[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _long_udf(path: str):  # noqa: ANN202
-    """Ids of the long words of each row; the vocabulary goes to the workers with the function, as one packed string."""
-    packed = b"\n".join(base64.b64encode(p) + b" %d" % r for p, r in ranks(path).items())
-    known: dict[bytes, int] = {}
-
-    @F.pandas_udf("array<array<int>>")
-    def run(words: pd.Series) -> pd.Series:
-        if not known and any(len(w) for w in words if w is not None):
-            known.update((base64.b64decode(p), int(r)) for p, r in map(bytes.split, packed.split(b"\n")))
-        return pd.Series([[merge_long(x.encode(), known) for x in w] if w is not None else None for w in words])
+_OTHER, _LETTER, _NUMBER, _SPACE, _END = range(5)
+_SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SLICE = 250_000
 
-    return run
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of each code point whether it is a letter, a number, white space or anything else; one more stands for the end of a text."""
+    first = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    kinds = np.array([{"L": _LETTER, "N": _NUMBER}.get(c, _OTHER) for c in first] + [_END], dtype=np.uint8)
+    kinds[_SPACES] = _SPACE
+    return kinds
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
+def split(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, and of each word its text, its first byte and the byte behind it.
 
-def common_words(docs: DataFrame, size: int = DICTIONARY) -> DataFrame:
-    """The words of most documents, ties in order of the words; counted over all documents."""
-    each = docs.select(F.explode(F.array_distinct(words_of(F.col("text").cast("string")))).alias("word")).where(F.octet_length("word") <= LONG)
-    return each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    The same words as by the public pattern: a run of letters, of numbers or of other characters takes one space before it; white
+    space that precedes something else leaves its last character; 's 't 're 've 'm 'll 'd are words where nothing is in front.
+    """
+    end = np.array([0x110000], dtype=np.uint32)
+    code = np.concatenate([x for t in texts for x in (np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32), end)] + [end, end, end])
+    kind = _kinds()[code]
+    start = np.empty(len(code), dtype=bool)
+    start[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    gap = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & (kind[1:] != _END))
+    start[gap] = True
+    start[gap[code[gap] == 32] + 1] = False
+    quote = np.flatnonzero((code == 39) & start)
+    one, two = code[quote + 1], code[quote + 2]
+    short = quote[np.isin(one, [ord(c) for c in "stmd"])]
+    long_ = quote[((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))]
+    start[np.concatenate([short, long_]) + 1] = False
+    start[np.concatenate([short + 2, long_ + 3])] = True
+    width = 1 + ((code >= 0x80) & (code < 0x110000)) + ((code >= 0x800) & (code < 0x110000)) + ((code >= 0x10000) & (code < 0x110000))
+    byte = np.concatenate([[0], np.cumsum(width)])
+    edges = np.flatnonzero(start)
+    word = np.flatnonzero(kind[edges] != _END)
+    at, until = edges[word], edges[word + 1]
+    doc = np.searchsorted(np.flatnonzero(kind == _END), at)
+    return b"\n".join(t.encode() for t in texts) + b"\n", doc, byte[at], byte[until]
+
+
+def _slices(texts: list[str | None]) -> Iterator[list[str]]:
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        part.append(t or "")
+        size += len(part[-1])
+        if size > _SLICE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return stretches(np.frombuffer(data, dtype=np.uint8), start, end)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of each batch."""
+    for batch in batches:
+        words: dict[int, bytes] = {}
+        keys, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        for part in _slices(batch.column(0).to_pylist()):
+            data, _, start, end = split(part)
+            fit = end - start <= LONG
+            start, end = start[fit], end[fit]
+            key, first, n = np.unique(_hashes(data, start, end), return_index=True, return_counts=True)
+            for k, a, b in zip(key.tolist(), start[first].tolist(), end[first].tolist(), strict=True):
+                if k not in words:
+                    words[k] = data[a:b]
+            keys.append(key)
+            counts.append(n)
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
+        if len(key):
+            found = pa.array([words[k] for k in key.tolist()], type=pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([found, pa.array(total)], names=["word", "n"])
+
+
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """(word, n): all words of at most LONG bytes, and how often they occur."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folded words as packed numbers: hashes, numbers of ids, ids."""
+    for batch in batches:
+        words = batch.column(0).cast(pa.binary()).to_pylist()
+        ids = batch.column(1)
+        at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        key = _hashes(b"".join(words) + b" ", at[:-1], at[1:])
+        sizes, flat = np.diff(ids.offsets.to_numpy()).astype(np.uint8), ids.flatten().to_numpy().astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], type=pa.binary()) for x in (key, sizes, flat)], names=["key", "sizes", "ids"])
+
+
+def dictionary(docs: DataFrame, path: str = VOCABULARY, size: int = DICTIONARY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of folded words, numbers of ids, ids: of all words, or of those that occur so often that no more than ``size`` do.
+
+    About 20 bytes a word go to the driver and to the workers.
+    """
+    spark = docs.sparkSession
+    words = cut(distinct_words(docs), "words")
+    often = words.groupBy("n").agg(F.count(F.lit(1)).alias("c")).select("n", F.sum("c").over(Window.orderBy(F.desc("n"))).alias("upto"))
+    least = often.where(F.col("upto") <= size).agg(F.min("n")).first()[0]
+    words = words.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
+    words = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folded = words.select("word", _let(_rank_map(path), lambda m: fold(F.col("word"), m)).alias("ids"))
+    parts = folded.mapInArrow(_pack, "key binary, sizes binary, ids binary").collect()
+    kinds = {"key": np.uint64, "sizes": np.uint8, "ids": np.int32}
+    return tuple(np.concatenate([np.zeros(0, k), *(np.frombuffer(p[name], k) for p in parts)]) for name, k in kinds.items())
+
+
+class Lookup:
+    """Finds words of the dictionary by hash, in an open table built once in each worker process."""
+
+    current: Lookup | None = None
+    name: str | None = None
+
+    def __init__(self, key: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.key, self.sizes, self.ids = np.concatenate([key, [np.uint64(0)]]), np.concatenate([sizes, [0]]).astype(np.int64), ids
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.bits = np.uint64(64 - max(4, int(len(key) * 3).bit_length()))
+        self.table = np.full(1 << (64 - int(self.bits)), len(key), dtype=np.int32)
+        left, slot = np.arange(len(key), dtype=np.int32), self._slot(key)
+        while len(left):
+            free = self.table[slot] == len(key)
+            self.table[slot[free]] = left[free]
+            lost = self.table[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & (len(self.table) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key >> self.bits).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Places of words in the dictionary; its length for those that aren't there."""
+        slot = self._slot(key)
+        place = self.table[slot]
+        open_ = np.flatnonzero((self.key[place] != key) & (place < len(self.key) - 1))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.table) - 1)
+            place[open_] = self.table[slot[open_]]
+            open_ = open_[(self.key[place[open_]] != key[open_]) & (place[open_] < len(self.key) - 1)]
+        return place
+
+
+def _spread(lengths: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, ... for lengths[0] numbers, and so on."""
+    ends = np.cumsum(lengths)
+    return np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _assemble(batches: Iterator[pa.RecordBatch], name: str, shared, path_ranks) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """Adds ``__parts`` (ids of runs of known words) and ``__words`` (the words between them) to each batch, whose last column is the text."""
+    if Lookup.current is None or Lookup.current.name != name:
+        Lookup.current = Lookup(*shared.value)
+        Lookup.current.name = name
+    words_ = Lookup.current
+    flat, none = words_.ids, len(words_.key) - 1
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        row = 0
+        for part in _slices(texts):
+            data, doc, start, end = split(part)
+            small = end - start <= LONG
+            place = np.where(small, words_.find(_hashes(data, start, end)), none)
+            known = place < none
+            begins, sizes = words_.begins[place], words_.sizes[place]
+            pool = flat
+            far = np.flatnonzero(~small)
+            if len(far):
+                merged = [merge_long(data[start[i] : end[i]], path_ranks.value) for i in far.tolist()]
+                sizes[far] = [len(x) for x in merged]
+                begins[far] = len(flat) + np.concatenate([[0], np.cumsum(sizes[far])[:-1]])
+                pool = np.concatenate([flat, np.array([i for x in merged for i in x], dtype=np.int32)])
+            ids = pool[_spread(sizes, begins)]
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            gap = np.flatnonzero(~known & small)
+            rows = np.arange(len(part))
+            # a text's parts end at its unknown words and at its end
+            last = np.searchsorted(doc, rows, side="right")
+            ends = np.sort(np.concatenate([gap * 2, last * 2 - 1]), kind="stable")
+            part_ends = upto[np.where(ends % 2 == 0, ends // 2, (ends + 1) // 2)]
+            unknown = np.searchsorted(gap, last)
+            words = pa.array([data[a:b] for a, b in zip(start[gap].tolist(), end[gap].tolist(), strict=True)], type=pa.binary()).cast(pa.string())
+            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], part_ends]).astype(np.int32)), pa.array(ids))
+            outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], unknown + rows + 1]).astype(np.int32)), inner)
+            missing = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], unknown]).astype(np.int32)), words)
+            same = batch.slice(row, len(part))
+            yield pa.RecordBatch.from_arrays([*same.columns, outer, missing], names=[*same.schema.names, "__parts", "__words"])
+            row += len(part)
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, size: int = DICTIONARY) -> DataFrame:
@@ -163,23 +351,21 @@ def encode(docs: DataFrame, path: str = VOCABULARY, size: int = DICTIONARY) -> D
     A null text has null ids, an empty one none. Ids follow the vocabulary of ``path``; every byte is in it, so every text can be
     encoded. Repeated rows are encoded each. All other columns stay, whatever their names.
     """
-    spark = docs.sparkSession
-    top = common_words(docs, size).select("word").repartition(spark.sparkContext.defaultParallelism)
-    coded = top.select("word", F.transform(F.array(_rank_map(path)), lambda m: fold(F.col("word"), m))[0].alias("ids"))
-    lists = _buckets([(r["word"].encode(), list(r["ids"])) for r in coded.toLocalIterator()], False)
-    dictionary = F.from_json(F.lit(lists), "array<struct<k:array<string>,v:array<array<int>>>>")
-    split = docs.withColumn("__words", words_of(F.col("text").cast("string")))
-    longs = F.filter("__words", lambda w: F.octet_length(w) > LONG)
-    split = split.withColumn("__long", longs).withColumn("__ids", _long_udf(path)("__long"))
-
-    def one(w: Column, m: Column, d: Column) -> Column:
-        far = F.get(F.col("__ids"), F.array_position(F.col("__long"), w).cast("int") - 1)
-        return F.coalesce(_find(d, w), F.when(F.octet_length(w) > LONG, far).otherwise(fold(w, m)))
-
-    literals = F.array(F.struct(_rank_map(path).alias("m"), dictionary.alias("d")))
-    ids = F.transform(literals, lambda x: F.flatten(F.transform("__words", lambda w: one(w, x["m"], x["d"]))))[0]
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "token_ids"]
-    return split.select(*rest, ids.alias("token_ids"))
+    context = docs.sparkSession.sparkContext
+    shared, known = context.broadcast(dictionary(docs, path, size)), context.broadcast(ranks(path))
+    name = uuid.uuid4().hex
+    rest = [c for c in docs.columns if c != "token_ids"]
+    given = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("__text"))
+    schema = StructType([*given.schema.fields, StructField("__parts", ArrayType(ArrayType(IntegerType()))), StructField("__words", ArrayType(StringType()))])
+    found = given.mapInArrow(lambda b: _assemble(b, name, shared, known), schema)
+
+    def joined(rank_map: Column) -> Column:
+        return F.flatten(
+            F.transform("__parts", lambda p, k: F.when(k < F.size("__words"), F.concat(p, fold(F.get("__words", k), rank_map))).otherwise(p))
+        )
+
+    ids = F.when(F.size("__words") == 0, F.get("__parts", F.lit(0))).otherwise(_let(_rank_map(path), joined))
+    return found.select(*[F.col(f"`{c}`") for c in rest], F.when(F.col("text").isNotNull(), ids).alias("token_ids"))
 
 
 def decode(ids: Column, path: str = VOCABULARY) -> Column:
