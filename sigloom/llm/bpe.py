@@ -150,7 +150,7 @@ def merge_long(word: bytes, found: dict[bytes, int]) -> list[int]:
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _END = range(5)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_SLICE = 250_000
+_SLICE, _HELD = 250_000, 200_000
 
 
 @lru_cache(maxsize=1)
@@ -192,15 +192,17 @@ def split(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     return b"\n".join(t.encode() for t in texts) + b"\n", doc, byte[at], byte[until]
 
 
-def _slices(texts: list[str | None]) -> Iterator[list[str]]:
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts in parts of about _SLICE characters; few rows are Python strings at a time."""
     part: list[str] = []
     size = 0
-    for t in texts:
-        part.append(t or "")
-        size += len(part[-1])
-        if size > _SLICE:
-            yield part
-            part, size = [], 0
+    for i in range(0, len(texts), 64):
+        for t in texts.slice(i, 64).to_pylist():
+            part.append(t or "")
+            size += len(part[-1])
+            if size > _SLICE:
+                yield part
+                part, size = [], 0
     if part:
         yield part
 
@@ -210,11 +212,21 @@ def _hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of each batch."""
+    """(word, n), several times over for words that recur after long."""
+    words: dict[int, bytes] = {}
+    seen: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if seen:
+            key, place = np.unique(np.concatenate([k for k, _ in seen]), return_inverse=True)
+            total = np.bincount(place, np.concatenate([n for _, n in seen]), len(key)).astype(np.int64)
+            found = pa.array([words[k] for k in key.tolist()], type=pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([found, pa.array(total)], names=["word", "n"])
+        words.clear()
+        seen.clear()
+
     for batch in batches:
-        words: dict[int, bytes] = {}
-        keys, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-        for part in _slices(batch.column(0).to_pylist()):
+        for part in _slices(batch.column(0)):
             data, _, start, end = split(part)
             fit = end - start <= LONG
             start, end = start[fit], end[fit]
@@ -222,13 +234,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, a, b in zip(key.tolist(), start[first].tolist(), end[first].tolist(), strict=True):
                 if k not in words:
                     words[k] = data[a:b]
-            keys.append(key)
-            counts.append(n)
-        key, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
-        if len(key):
-            found = pa.array([words[k] for k in key.tolist()], type=pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([found, pa.array(total)], names=["word", "n"])
+            if len(key):
+                seen.append((key, n))
+            if len(words) > _HELD:
+                yield from flush()
+    yield from flush()
 
 
 def distinct_words(docs: DataFrame) -> DataFrame:
@@ -272,8 +282,8 @@ class Lookup:
     name: str | None = None
 
     def __init__(self, key: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.key, self.sizes, self.ids = np.concatenate([key, [np.uint64(0)]]), np.concatenate([sizes, [0]]).astype(np.int64), ids
-        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.key, self.sizes, self.ids = np.concatenate([key, [np.uint64(0)]]), np.concatenate([sizes, [0]]).astype(np.int32), ids
+        self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         self.bits = np.uint64(64 - max(4, int(len(key) * 3).bit_length()))
         self.table = np.full(1 << (64 - int(self.bits)), len(key), dtype=np.int32)
         left, slot = np.arange(len(key), dtype=np.int32), self._slot(key)
@@ -312,7 +322,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], name: str, shared, path_ranks)
     words_ = Lookup.current
     flat, none = words_.ids, len(words_.key) - 1
     for batch in batches:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
+        texts = batch.column(batch.num_columns - 1)
         row = 0
         for part in _slices(texts):
             data, doc, start, end = split(part)
