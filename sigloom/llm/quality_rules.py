@@ -34,27 +34,35 @@ LEVELS = len(GRID["symbols"][1])
 
 
 def signals(text: Column) -> dict[str, Column]:
-    """Shares of symbols and of capitals in the characters, different words among the words (200 at most), characters a word."""
+    """What the signals are made of: words (n, kinds), shares of symbols and of capitals, size."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
-    words = F.split(text, r"\s+")
+    count = lambda words: F.struct(F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("kinds"))
+    words = F.transform(F.array(F.split(text, r"\s+")), count)[0]
     share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / size
     return {
+        "words": words,
         "symbols": share(SYMBOLS),
         "capitals": share(CAPITALS),
-        "variety": F.size(F.array_distinct(words)) / F.least(F.size(words), F.lit(200)),
-        "word_length": F.length(text) / F.size(words),
+        "size": F.length(text),
     }
 
 
-def level(text: Column) -> Column:
-    """The first level that rejects a text; LEVELS + 1 if none does."""
+def leveled(docs: DataFrame) -> DataFrame:
+    """docs with ``__level``: the first level that rejects the text; LEVELS + 1 if none does.
+
+    The signals pass through a generator of one row: a filter on the level can't be pushed through that, where it would compute the
+    signals again for each cutoff.
+    """
+    bound = docs.select("*", F.explode(F.array(F.struct(*[value.alias(name) for name, value in signals(F.col("text")).items()]))).alias("__s"))
+    s, w = F.col("__s"), F.col("__s.words")
+    signal = {"symbols": s["symbols"], "capitals": s["capitals"], "variety": w["kinds"] / F.least(w["n"], F.lit(200)), "word_length": s["size"] / w["n"]}
     each = []
-    for name, value in signals(text).items():
-        high, cutoffs = GRID[name]
+    for name, (high, cutoffs) in GRID.items():
+        value = signal[name]
         broken = [((value > c) if high else (value < c)).cast("int") for c in cutoffs]
         each.append(F.lit(LEVELS + 1) - reduce(Column.__add__, broken))
-    return F.least(*each)
+    return bound.withColumn("__level", F.least(*each)).drop("__s")
 
 
 def tail(n: int, k: int, p: float) -> float:
@@ -75,6 +83,11 @@ def strictest(counts: dict[int, int], allowed: float, alpha: float) -> int:
     return LEVELS
 
 
+def _levels(docs: DataFrame) -> DataFrame:
+    found = leveled(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text"))
+    return found.select("doc_id", "lang", F.col("__level").alias("level"))
+
+
 def thresholds(levels: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(lang, chosen) for each stratum with labelled good documents. levels: (doc_id, lang, level)."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
@@ -96,7 +109,7 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
     A null language is a stratum of its own. A document with several labels is good if all are. Labelled rows that are repeated
     in docs count each time.
     """
-    levels = cut(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), level(F.col("text")).alias("level")), "levels")
+    levels = cut(_levels(docs), "levels")
     chosen = thresholds(levels, labels.select("doc_id", "quality"), alpha, delta).withColumnRenamed("lang", "stratum")
     met = levels.join(chosen, F.col("lang").eqNullSafe(F.col("stratum")), "left")
     bar = F.coalesce("chosen", F.lit(0))
@@ -105,11 +118,10 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
 
 def accepted(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of docs that the rules keep, with docs' columns. Texts are not moved: strata are few and their bars are joined to them."""
-    levels = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), level(F.col("text")).alias("level"))
-    chosen = cut(thresholds(levels, labels.select("doc_id", "quality"), alpha, delta), "bars")
+    chosen = cut(thresholds(_levels(docs), labels.select("doc_id", "quality"), alpha, delta), "bars")
     chosen = chosen.select(F.col("lang").alias("__stratum"), F.col("chosen").alias("__bar"))
-    met = docs.join(chosen, F.col("lang").cast("string").eqNullSafe(F.col("__stratum")), "left")
-    return met.where(level(F.col("text")) > F.coalesce("__bar", F.lit(0))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = leveled(docs).join(chosen, F.col("lang").cast("string").eqNullSafe(F.col("__stratum")), "left")
+    return met.where(F.col("__level") > F.coalesce("__bar", F.lit(0))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_risk_controlled_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
