@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sigloom.plans import search, text, tools
+
 Query = Callable[[SparkSession, str], DataFrame]
+ENTRIES = text.QUERIES | search.QUERIES | tools.QUERIES
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: run for name, (run, _) in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ENTRIES.items() if sql is not None}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The benchmark's texts as topics, searched among the documents."""
+    return search.topic_search(spark, sf_dir)

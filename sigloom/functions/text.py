@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from sigloom.functions.hashing import super_fast_hash
 from sigloom.functions.porter import porter
@@ -40,12 +41,12 @@ def s_stem(word: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def porter_stem(words: pd.Series) -> pd.Series:
     return words.map(porter, na_action="ignore")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def term_hash(words: pd.Series) -> pd.Series:
     """The 32-bit hash of terms, as an unsigned number."""
     return words.map(lambda w: super_fast_hash(w.encode()), na_action="ignore").astype("Int64")

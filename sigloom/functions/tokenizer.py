@@ -73,25 +73,39 @@ def scan(
     return out
 
 
-def segments(
+def segment_rows(
     docs: DataFrame, mask: str = "alnum", markup: bool = False, stemmer: str = "none", stopwords: list[str] | None = None, splitting: Splitting = Splitting()
 ) -> DataFrame:
-    """(doc_id, seg, term, cnt, begin, end) of documents (doc_id, text)."""
+    """A row for each segment of documents (doc_id, text), made where the document stands: nothing is shuffled.
+
+    (doc_id, seg, terms, counts, begins, ends, unique_terms, total_terms, doc_char_length, offset_begin, offset_end). Documents without
+    terms, null texts among them, have no row.
+    """
     words = frozenset(stopwords or [])
+    names = ["doc_id", "seg", "terms", "counts", "begins", "ends", "unique_terms", "total_terms", "doc_char_length", "offset_begin", "offset_end"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                (doc, seg, *term)
-                for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True)
-                for seg, terms in enumerate(scan(text or "", mask, markup, stemmer, words, splitting))
-                for term in terms
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "seg", "term", "cnt", "begin", "end"])
+            rows = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                for seg, found in enumerate(scan(text or "", mask, markup, stemmer, words, splitting)):
+                    terms, counts, begins, ends = (list(x) for x in zip(*found, strict=True))
+                    rows.append((doc, seg, terms, counts, begins, ends, len(terms), sum(counts), len(text.encode()), min(begins), max(ends)))
+            yield pd.DataFrame(rows, columns=names)
 
     kind = dict(docs.dtypes)["doc_id"]
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return given.mapInPandas(run, f"doc_id {kind}, seg int, term string, cnt long, begin long, end long")
+    lists = "terms array<string>, counts array<long>, begins array<int>, ends array<int>"
+    return given.mapInPandas(run, f"doc_id {kind}, seg int, {lists}, unique_terms int, total_terms long, doc_char_length int, offset_begin int, offset_end int")
+
+
+def segments(
+    docs: DataFrame, mask: str = "alnum", markup: bool = False, stemmer: str = "none", stopwords: list[str] | None = None, splitting: Splitting = Splitting()
+) -> DataFrame:
+    """(doc_id, seg, term, cnt, begin, end) of documents (doc_id, text)."""
+    rows = segment_rows(docs, mask, markup, stemmer, stopwords, splitting)
+    each = rows.select("doc_id", "seg", F.inline(F.arrays_zip("terms", "counts", "begins", "ends")).alias("term", "cnt", "begin", "end"))
+    return each.select("doc_id", "seg", "term", "cnt", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))
 
 
 def overlapped(terms: DataFrame) -> DataFrame:
