@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from sigloom.llm.names import fresh
 from sigloom.llm.words import stretches
 from sigloom.session import cut, table
 
@@ -314,8 +315,8 @@ def _spread(lengths: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], name: str, shared, path_ranks) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    """Adds ``__parts`` (ids of runs of known words) and ``__words`` (the words between them) to each batch, whose last column is the text."""
+def _assemble(batches: Iterator[pa.RecordBatch], name: str, shared, path_ranks, added: list[str]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """Adds two columns, ids of runs of known words and the words between them, to each batch, whose last column is the text."""
     if Lookup.current is None or Lookup.current.name != name:
         Lookup.current = Lookup(*shared.value)
         Lookup.current.name = name
@@ -351,7 +352,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], name: str, shared, path_ranks)
             outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], unknown + rows + 1]).astype(np.int32)), inner)
             missing = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], unknown]).astype(np.int32)), words)
             same = batch.slice(row, len(part))
-            yield pa.RecordBatch.from_arrays([*same.columns, outer, missing], names=[*same.schema.names, "__parts", "__words"])
+            yield pa.RecordBatch.from_arrays([*same.columns, outer, missing], names=[*same.schema.names, *added])
             row += len(part)
 
 
@@ -365,16 +366,17 @@ def encode(docs: DataFrame, path: str = VOCABULARY, size: int = DICTIONARY) -> D
     shared, known = context.broadcast(dictionary(docs, path, size)), context.broadcast(ranks(path))
     name = uuid.uuid4().hex
     rest = [c for c in docs.columns if c != "token_ids"]
-    given = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("__text"))
-    schema = StructType([*given.schema.fields, StructField("__parts", ArrayType(ArrayType(IntegerType()))), StructField("__words", ArrayType(StringType()))])
-    found = given.mapInArrow(lambda b: _assemble(b, name, shared, known), schema)
+    whole, parts, words_ = fresh(rest, "whole", "parts", "words")
+    given = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias(whole))
+    schema = StructType([*given.schema.fields, StructField(parts, ArrayType(ArrayType(IntegerType()))), StructField(words_, ArrayType(StringType()))])
+    found = given.mapInArrow(lambda b: _assemble(b, name, shared, known, [parts, words_]), schema)
 
     def joined(rank_map: Column) -> Column:
         return F.flatten(
-            F.transform("__parts", lambda p, k: F.when(k < F.size("__words"), F.concat(p, fold(F.get("__words", k), rank_map))).otherwise(p))
+            F.transform(parts, lambda p, k: F.when(k < F.size(words_), F.concat(p, fold(F.get(words_, k), rank_map))).otherwise(p))
         )
 
-    ids = F.when(F.size("__words") == 0, F.get("__parts", F.lit(0))).otherwise(_let(_rank_map(path), joined))
+    ids = F.when(F.size(words_) == 0, F.get(parts, F.lit(0))).otherwise(_let(_rank_map(path), joined))
     return found.select(*[F.col(f"`{c}`") for c in rest], F.when(F.col("text").isNotNull(), ids).alias("token_ids"))
 
 

@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigloom.llm.names import fresh
 from sigloom.session import cut, table
 
 #: Target weights of the sources; a source that is not named has OTHERS.
@@ -83,9 +84,10 @@ def schedule(
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of docs within the budget, in mixing order, with docs' columns. Options and odd cases: see schedule()."""
     plan = schedule(docs.select("doc_id", "source", "text"), **options)
-    plan = plan.select(F.col("rid").alias("__rid"), F.col("finish").alias("__finish"), F.col("source").alias("__source"), F.col("key").alias("__key"))
-    met = docs.join(plan, row_key() == F.col("__rid"))
-    return met.orderBy("__finish", "__source", "__key", "__rid").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rid, finish, source, key = fresh(docs.columns, "rid", "finish", "source_name", "key")
+    plan = plan.select(F.col("rid").alias(rid), F.col("finish").alias(finish), F.col("source").alias(source), F.col("key").alias(key))
+    met = docs.join(plan, row_key() == F.col(rid))
+    return met.orderBy(finish, source, key, rid).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_weighted_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigloom.llm.names import fresh
 from sigloom.llm.words import Batch, mix, slices, stretches
 from sigloom.session import cut, table
 
@@ -179,11 +180,11 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the rows that near_duplicates() names, and with one of each set of rows of equal id and text."""
-    gone = near_duplicates(docs, similarity).select("rid").withColumn("gone", F.lit(True))
-    keyed = docs.withColumn("rid", row_key())
-    kept = keyed.join(gone, "rid", "left").where("gone is null")
-    nth = F.row_number().over(Window.partitionBy("rid").orderBy("rid"))
-    return kept.withColumn("nth", nth).where("nth = 1").select(*docs.columns)
+    rid, gone, nth = fresh(docs.columns, "rid", "gone", "nth")
+    found = near_duplicates(docs, similarity).select(F.col("rid").alias(rid)).withColumn(gone, F.lit(True))
+    kept = docs.withColumn(rid, row_key()).join(found, rid, "left").where(F.col(gone).isNull())
+    place = F.row_number().over(Window.partitionBy(rid).orderBy(rid))
+    return kept.withColumn(nth, place).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

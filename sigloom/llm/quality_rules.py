@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.llm.names import fresh
 from sigloom.session import cut, table
 
 ALPHA, DELTA = 0.02, 0.05
@@ -48,21 +49,22 @@ def signals(text: Column) -> dict[str, Column]:
     }
 
 
-def leveled(docs: DataFrame) -> DataFrame:
-    """docs with ``__level``: the first level that rejects the text; LEVELS + 1 if none does.
+def leveled(docs: DataFrame, level: str = "level") -> DataFrame:
+    """docs with ``level``: the first level that rejects the text; LEVELS + 1 if none does.
 
     The signals pass through a generator of one row: a filter on the level can't be pushed through that, where it would compute the
     signals again for each cutoff.
     """
-    bound = docs.select("*", F.explode(F.array(F.struct(*[value.alias(name) for name, value in signals(F.col("text")).items()]))).alias("__s"))
-    s, w = F.col("__s"), F.col("__s.words")
+    (bag,) = fresh([*docs.columns, level], "signals")
+    bound = docs.select("*", F.explode(F.array(F.struct(*[value.alias(name) for name, value in signals(F.col("text")).items()]))).alias(bag))
+    s, w = F.col(bag), F.col(f"{bag}.words")
     signal = {"symbols": s["symbols"], "capitals": s["capitals"], "variety": w["kinds"] / F.least(w["n"], F.lit(200)), "word_length": s["size"] / w["n"]}
     each = []
     for name, (high, cutoffs) in GRID.items():
         value = signal[name]
         broken = [((value > c) if high else (value < c)).cast("int") for c in cutoffs]
         each.append(F.lit(LEVELS + 1) - reduce(Column.__add__, broken))
-    return bound.withColumn("__level", F.least(*each)).drop("__s")
+    return bound.withColumn(level, F.least(*each)).drop(bag)
 
 
 def tail(n: int, k: int, p: float) -> float:
@@ -84,8 +86,7 @@ def strictest(counts: dict[int, int], allowed: float, alpha: float) -> int:
 
 
 def _levels(docs: DataFrame) -> DataFrame:
-    found = leveled(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text"))
-    return found.select("doc_id", "lang", F.col("__level").alias("level"))
+    return leveled(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")).select("doc_id", "lang", "level")
 
 
 def thresholds(levels: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -119,9 +120,10 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
 def accepted(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of docs that the rules keep, with docs' columns. Texts are not moved: strata are few and their bars are joined to them."""
     chosen = cut(thresholds(_levels(docs), labels.select("doc_id", "quality"), alpha, delta), "bars")
-    chosen = chosen.select(F.col("lang").alias("__stratum"), F.col("chosen").alias("__bar"))
-    met = leveled(docs).join(chosen, F.col("lang").cast("string").eqNullSafe(F.col("__stratum")), "left")
-    return met.where(F.col("__level") > F.coalesce("__bar", F.lit(0))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    level, stratum, bar = fresh(docs.columns, "level", "stratum", "bar")
+    chosen = chosen.select(F.col("lang").alias(stratum), F.col("chosen").alias(bar))
+    met = leveled(docs, level).join(chosen, F.col("lang").cast("string").eqNullSafe(F.col(stratum)), "left")
+    return met.where(F.col(level) > F.coalesce(bar, F.lit(0))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_risk_controlled_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
