@@ -1,0 +1,325 @@
+"""Each operator against brute force, a round trip or held-out accuracy."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sigloom.llm import bpe, catalog, cotraining, features, fingerprints, line_dedup, mixing, near_dedup, quality_rules, secrets, toxicity, url_model
+from sigloom.llm.names import fresh
+from sigloom.llm.words import Batch
+from sigloom.session import table
+from tests.oracle import difference, duck
+
+SMALL = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, texts, lang="en", source="src0"):
+    return spark.createDataFrame([(i, t, lang, source, len(t or "")) for i, t in enumerate(texts)], SCHEMA)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_sql(spark, name):
+    assert difference(catalog.queries()[name](spark, SMALL), duck(SMALL), catalog.oracle_sql()[name]) is None
+
+
+def test_names():
+    assert fresh(["Rid", "_rid"], "rid", "x", "x") == ["__rid", "x", "_x"]
+
+
+# ---- near duplicates ----
+
+
+def shingles(text):
+    words = "".join(c.lower() if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in text).split()
+    return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+
+
+def texts_with_copies(seed=1, groups=12):
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    out = []
+    for g in range(groups):
+        base = [rnd.choice(vocabulary) for _ in range(120)]
+        out.append(" ".join(base))
+        for _ in range(g % 4):
+            new = list(base)
+            for _ in range(rnd.choice([0, 1, 3])):
+                new[rnd.randrange(len(new))] = rnd.choice(vocabulary)
+            out.append(" ".join(new))
+    rnd.shuffle(out)
+    return out
+
+
+def brute_groups(texts, similarity):
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in range(len(texts)) if find(i) != i}
+
+
+def test_near_duplicates_match_brute_force(spark):
+    texts = texts_with_copies()
+    found = {r["doc_id"]: r["duplicate_of"] for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert found == brute_groups(texts, near_dedup.SIMILARITY)
+
+
+def test_near_duplicates_recall_on_table(spark):
+    docs = table(spark, SMALL, "documents")
+    rows = docs.orderBy("doc_id").select("doc_id", "text").collect()
+    expected = brute_groups([r["text"] for r in rows], near_dedup.SIMILARITY)
+    found = {r["doc_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    wanted = {rows[i]["doc_id"] for i in expected}
+    assert found <= wanted and len(found) >= 0.9 * len(wanted)
+
+
+def test_sketches_fill_and_estimate():
+    rnd = np.random.default_rng(3)
+    a = rnd.integers(0, 2**63, 300, dtype=np.uint64)
+    b = np.concatenate([a[:200], rnd.integers(0, 2**63, 100, dtype=np.uint64)])
+    one = rnd.integers(0, 2**63, 1, dtype=np.uint64)
+    doc = np.repeat([0, 1, 2], [300, 300, 1])
+    sketch = near_dedup.fill(doc, np.concatenate([a, b, one]), 3, 1024)
+    assert (sketch != near_dedup._EMPTY).all()
+    assert abs((sketch[0] == sketch[1]).mean() - 0.5) < 0.06
+
+
+def test_components(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (4, 5)], "a long, b long")
+    assert {r["node"]: r["root"] for r in near_dedup.components(pairs).collect()} == {2: 1, 3: 1, 4: 1, 5: 1, 11: 10}
+
+
+# ---- line dedup ----
+
+
+def brute_line_dedup(texts):
+    seen, out = {}, []
+    for d, text in enumerate(texts):
+        lines = line_dedup.lines_of(text)
+        bare = [x.strip() for x in lines]
+        gone = set()
+        for i in range(len(lines)):
+            words, j = 0, i
+            while j < len(lines) and words < line_dedup.MIN_WORDS:
+                words += bare[j].count(" ") + 1
+                j += 1
+            if words >= line_dedup.MIN_WORDS:
+                if tuple(bare[i:j]) in seen:
+                    gone |= set(range(i, j))
+                seen.setdefault(tuple(bare[i:j]), (d, i))
+        out.append("".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rnd = random.Random(4)
+    pool = [" ".join(f"w{rnd.randrange(500)}" for _ in range(rnd.randint(3, 14))) + rnd.choice([".", "!", ","]) for _ in range(60)]
+    texts = []
+    for _ in range(40):
+        lines = [rnd.choice(pool) if rnd.random() < 0.3 else f"own {rnd.random()}." for _ in range(rnd.randint(1, 12))]
+        at = rnd.randrange(len(pool) - 6)
+        lines[1:1] = pool[at : at + 6] if rnd.random() < 0.5 else []
+        texts.append(rnd.choice([" ", "\n"]).join(lines))
+    rows = line_dedup.drop_repeats(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == brute_line_dedup(texts)
+
+
+# ---- BPE ----
+
+
+def brute_encode(text, found):
+    import regex
+
+    pattern = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    out = []
+    for word in pattern.findall(text):
+        parts = [bytes([b]) for b in word.encode()]
+        while True:
+            ranked = [(found.get(parts[i] + parts[i + 1], math.inf), i) for i in range(len(parts) - 1)]
+            best = min(ranked, default=(math.inf, 0))
+            if best[0] == math.inf:
+                break
+            i = best[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        out += [found[p] for p in parts]
+    return out
+
+
+ODD_TEXTS = ["Hello, world's  end\n\n we'll\tgo", "漢字かな \U0001f600 x y", "a" * 300, "don't   ", "1234567890 12", "", "  \n ", "naïve café—“quote”", "'s 't", "zqxjvbn" * 20]
+
+
+@pytest.mark.parametrize("size", [bpe.DICTIONARY, 5, 0])
+def test_bpe_matches_brute_force_and_round_trips(spark, size):
+    texts = [*ODD_TEXTS, *(r["text"] for r in table(spark, SMALL, "documents").orderBy("doc_id").limit(10).collect())]
+    rows = bpe.encoded(frame(spark, texts), size=size).orderBy("doc_id").collect()
+    found = bpe.ranks()
+    assert [list(r["token_ids"]) for r in rows] == [brute_encode(t, found) for t in texts]
+    assert all(r["exact"] for r in rows)
+
+
+# ---- quality rules, mixing ----
+
+
+def test_binomial_tail():
+    exact = sum(math.comb(30, j) * 0.1**j * 0.9 ** (30 - j) for j in range(4))
+    assert abs(quality_rules.tail(30, 3, 0.1) - exact) < 1e-12
+
+
+def test_thresholds_limit_false_rejection():
+    assert quality_rules.strictest({13: 1000}, 0.01, 0.02) == quality_rules.LEVELS
+    assert quality_rules.strictest({13: 10}, 0.01, 0.02) == 0
+    assert quality_rules.strictest({13: 970, 5: 30}, 0.01, 0.02) == 4
+
+
+def test_mixing_shares(spark):
+    rows = [(i, "w " * 10, "en", f"src{i % 4}", 20) for i in range(4000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    weights = {"src0": 4.0, "src1": 2.0, "src2": 1.0, "src3": 1.0}
+    found = {r["source"]: r["n"] for r in mixing.schedule(docs, weights, share=0.4).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    total = sum(found.values())
+    assert abs(total - 0.4 * 40_000) < 20
+    assert all(abs(found[s] / total - w / 8) < 0.01 for s, w in weights.items())
+    with pytest.raises(ValueError):
+        mixing.schedule(docs, {"src0": 0.0})
+
+
+# ---- fingerprints ----
+
+
+def test_fingerprint_grows_until_it_peels(spark):
+    rnd = random.Random(6)
+    old = [f"paragraph {rnd.random()}" for _ in range(300)]
+    new = [old[0], *[p if rnd.random() < 0.3 else f"changed {rnd.random()}" for p in old[1:]]]
+    texts = ["\n".join(old), "\n".join(new), "\n".join([*new, "one more"])]
+    rows = {r["doc_id"]: r for r in fingerprints.differences(frame(spark, texts)).collect()}
+    assert len(rows[1]["added"]) == len(set(new) - set(old)) and len(rows[1]["removed"]) == len(set(old) - set(new))
+    assert (len(rows[2]["added"]), len(rows[2]["removed"])) == (1, 0)
+
+
+# ---- learned scores ----
+
+
+def auc(score, y):
+    order = np.argsort(score)
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    return (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / max(1, (y == 1).sum() * (y == 0).sum())
+
+
+def held_out(spark, score, column):
+    """Area under the curve on labelled documents of sf0.01 that were not given to the model."""
+    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    known = labels.where(F.pmod(F.xxhash64(F.lit(99), "doc_id"), F.lit(2)) == 0)
+    met = score(docs, known).join(labels.join(known, "doc_id", "left_anti"), "doc_id").toPandas()
+    return auc(met["score"].to_numpy(), met[column].to_numpy())
+
+
+def test_cotraining_held_out(spark):
+    assert held_out(spark, lambda d, lab: cotraining.scored(d, lab).select("doc_id", "score"), "quality") > 0.85
+
+
+def test_toxicity_held_out(spark):
+    assert held_out(spark, lambda d, lab: toxicity.scored(d, lab).select("doc_id", "score"), "toxic") > 0.9
+
+
+def test_isotonic():
+    xs, ps = features.isotonic(np.array([1.0, 2, 3, 4, 5, 6]), np.array([0.0, 1, 0, 1, 0, 1]))
+    assert (np.diff(ps) >= 0).all() and (np.diff(xs) >= 0).all()
+
+
+def test_secrets_held_out():
+    scanner = secrets.fit(secrets.labelled_examples(seed=5))
+    fresh_ = secrets.labelled_examples(seed=11, each=40)
+    hit = [scanner.is_secret(t)[2] for f, t in fresh_ if f != secrets.OTHER]
+    false = [scanner.is_secret(t)[2] for f, t in fresh_ if f == secrets.OTHER]
+    assert sum(hit) >= 0.9 * len(hit) and sum(false) <= 0.1 * len(false)
+
+
+def test_secret_scan_finds_planted(spark):
+    keys = [t for f, t in secrets.labelled_examples(seed=21, each=1) if f in ("access_key_id", "personal_token")]
+    texts = [f"here is the key {k} as sent" for k in keys] + ["only plain words stand here", "see page 2024-10-11T12.30.15 of the log"]
+    found = secrets.scan(frame(spark, texts)).where("is_secret").collect()
+    assert {r["candidate"] for r in found} == set(keys)
+
+
+def brute_url_scores(known, urls, order=url_model.ORDER):
+    """known: (url, side); Witten-Bell interpolation by dictionaries."""
+    from collections import Counter, defaultdict
+
+    counts = {0: defaultdict(Counter), 1: defaultdict(Counter)}
+    pad = lambda u: "\x02" * order + u + "\x03"
+    for u, side in known:
+        p = pad(u)
+        for i in range(order, len(p)):
+            for k in range(order + 1):
+                counts[side][p[i - k : i]][p[i]] += 1
+
+    def probability(side, context, c):
+        lower = probability(side, context[1:], c) if context else 1 / url_model.ALPHABET
+        own = counts[side].get(context)
+        if not own:
+            return lower
+        return (own[c] + len(own) * lower) / (sum(own.values()) + len(own))
+
+    out = []
+    for u in urls:
+        p = pad(u)
+        total = sum(math.log(probability(0, p[i - order : i], p[i])) - math.log(probability(1, p[i - order : i], p[i])) for i in range(order, len(p)))
+        out.append(total / (len(u) + 1))
+    return out
+
+
+def test_url_scores_match_brute_force(spark):
+    urls = [f"http://{h}.example.{t}/{p}" for h, t, p in zip(["casino", "news", "pills", "blog", "spam", "shop"] * 4, ["com", "org", "net"] * 8, range(24), strict=True)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 6 in (1, 3, 5))) for i in range(18)], "page_id long, accepted int")
+    plain = [u.removeprefix("http://") for u in urls]
+    held = {r["page_id"] for r in pages.where(F.pmod(F.xxhash64(F.lit(3), url_model.plain(F.col("url"))), F.lit(5)) == 0).collect()}
+    known = [(plain[i], int(i % 6 in (1, 3, 5))) for i in range(18) if i not in held]
+    rows = url_model.filtered(pages, labels).orderBy("page_id").collect()
+    assert np.allclose([r["score"] for r in rows], brute_url_scores(known, plain), atol=1e-7)
+
+
+def test_word_batches():
+    batch = Batch([b"one two", b"", b"two one two"])
+    assert list(np.diff(batch.first)) == [2, 0, 3]
+    assert batch.hash[1] == batch.hash[2] and batch.hash[0] == batch.hash[3]
+
+
+# ---- pipeline ----
+
+
+def test_pipeline_matches_its_parts(spark):
+    """Every stage against brute force or its own operator's test, on what the one before kept; run() gives the last stage's rows."""
+    docs = table(spark, SMALL, "documents")
+    kept = corpus_pipeline.quality(spark, docs, SMALL)
+    judged = quality_rules.judged(docs, table(spark, SMALL, "labels"))
+    assert kept.count() == judged.where("keep").count()
+    rows = kept.orderBy("doc_id").collect()
+    lines = corpus_pipeline.lines(spark, kept, SMALL).orderBy("doc_id").collect()
+    wanted = [(r["doc_id"], t) for r, t in zip(rows, brute_line_dedup([r["text"] for r in rows]), strict=True) if t.strip() or t == r["text"]]
+    assert [(r["doc_id"], r["text"]) for r in lines] == wanted
+    left = spark.createDataFrame(lines, docs.schema)
+    near = corpus_pipeline.near(spark, left, SMALL)
+    groups = brute_groups([r["text"] for r in lines], near_dedup.SIMILARITY)
+    assert {r["doc_id"] for r in near.collect()} >= {r["doc_id"] for i, r in enumerate(lines) if i not in groups}
+    mixed = corpus_pipeline.mix(spark, near, SMALL)
+    assert mixed.count() == mixing.schedule(near).count()
+    out = corpus_pipeline.run(spark, SMALL).collect()
+    assert all(r["exact"] for r in out) and abs(len(out) - mixed.count()) <= 0
