@@ -5,6 +5,8 @@ A run has a row for each result: topic_id, doc_id, rank, score, run, hd; some ha
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,8 +143,6 @@ def span_lines(spans: DataFrame) -> DataFrame:
 
 def span_report(spans: list[tuple], title: str = "Copied passages") -> str:
     """An HTML table of collected spans."""
-    import html
-
     heads = ("source", "begin", "length", "source begin", "source length")
     row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{html.escape(str(c))}</{tag}>" for c in cells) + "</tr>"
     return f"<h1>{html.escape(title)}</h1>\n<table>\n" + "\n".join([row(heads, "th"), *(row(s, "td") for s in spans)]) + "\n</table>\n"

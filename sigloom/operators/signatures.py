@@ -11,11 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.functions.bits import pack, positive_words, words
-from sigloom.functions.text import clipped, tokens
+from sigloom.functions.bits import pack, positive_words, unpack, words
+from sigloom.functions.text import clipped, stemmed, tokens
 from sigloom.functions.tokenizer import Splitting, segment_rows
 from sigloom.operators.terms import weight
 from sigloom.operators.vectors import Projection, accumulated
+from sigloom.session import cut
 
 META = ["unique_terms", "doc_char_length", "total_terms", "quality", "offset_begin", "offset_end", "unused7", "unused8"]
 
@@ -91,8 +92,6 @@ def numbered(signatures: DataFrame, *order: str) -> DataFrame:
     """With doc_num: 0, 1, ... in order. Ranges are numbered by themselves and get their start from the counts of those before."""
     order = order or ("doc_id", "seg")
     sorted_ = signatures.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__own", F.monotonically_increasing_id())
-    from sigloom.session import cut
-
     kept = cut(sorted_, "numbered")
     sizes = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__own").alias("first"))  # a row for each task
     starts = sizes.select("__part", "first", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -109,8 +108,6 @@ def query_signatures(
     Every occurrence of a token counts once, with a segment of three tokens in the weight; repeats add up. Markup is not filtered.
     A topic without known words has an empty mask, so everything is at distance 0.
     """
-    from sigloom.functions.text import stemmed
-
     kept = [c for c in topics.columns if c != text]
     rows = topics.select("topic_id", F.explode(tokens(F.col(text).cast("string"), mask, longest=1 << 30)).alias("term"))
     rows = stemmed(rows, stemmer)
@@ -140,6 +137,4 @@ def random_bits(signatures: DataFrame, seed: int = 0, key: str = "doc_id") -> Da
 
 def dense(packed: np.ndarray) -> np.ndarray:
     """Words to -1 and 1."""
-    from sigloom.functions.bits import unpack
-
     return unpack(packed).astype(np.int8) * 2 - 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +12,10 @@ from sigloom.functions.bits import bit_string, hex_string
 from sigloom.operators import bands, runs, sequences, signatures, tables
 from sigloom.operators import search as S
 from sigloom.operators.terms import doc_terms
-from sigloom.plans.search import EMBEDDED, _docsim_sql, documents, embedded
+from sigloom.plans.search import EMBEDDED, ISSL_SEARCH, _docsim_sql, documents, embedded, issl_search
 from sigloom.plans.text import DOCS, Entry, tf_sql
 from sigloom.session import cut, table
-from sigloom.sources.topics import sentence_topics
+from sigloom.sources.topics import sentence_topics, sentences
 
 N = 7
 #: Hexadecimal digits of a bit string.
@@ -121,8 +122,6 @@ def _ratio(df: DataFrame) -> DataFrame:
 
 def hdr_eval(spark: SparkSession, sf: str) -> DataFrame:
     """The full search as truth against the slice index."""
-    from sigloom.plans.search import issl_search
-
     rows = issl_search(spark, sf).select(F.col("doc_num").alias("topic_id"), "rank", F.col("dist").alias("hd"))
     return _ratio(runs.distance_ratio(_run(spark, sf), rows))
 
@@ -138,8 +137,6 @@ SELECT rank, round(avg(CASE WHEN f > 0 THEN t / f ELSE 1 END), 9) AS ratio, coun
 
 
 def _hdr_sql() -> str:
-    from sigloom.plans.search import ISSL_SEARCH
-
     return f"{_RUN}, truth AS (SELECT topic_id, rank, hd FROM run), found AS (SELECT doc_num AS topic_id, rank, dist AS hd FROM ({ISSL_SEARCH})) {_RATIO}"
 
 
@@ -237,8 +234,6 @@ SELECT i::INT AS pct, coalesce(c, 0)::BIGINT AS n FROM range(1, 101) r(i) LEFT J
 
 def sentence_query(spark: SparkSession, sf: str) -> DataFrame:
     """The sentences of the documents one behind the other, each document for itself."""
-    from sigloom.sources.topics import sentences
-
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.inline(sentences(F.col("text")))).select("doc_id", "begin", "text")
 
@@ -288,8 +283,6 @@ def genome(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def protein(spark: SparkSession, sf: str) -> DataFrame:
-    import numpy as np
-
     order = np.random.default_rng(1)
     residues = {chr(65 + i): order.choice([-1, 1], 64).tolist() for i in range(26)}
     found = sequences.protein_signatures(_records(spark, sf), residues, 4)

@@ -6,6 +6,7 @@ name, eight 32-bit numbers and the bits. Term statistics are records of hash, df
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.functions.bits import WORD, pack, unpack, word_columns, words
+from sigloom.functions.bits import WORD, layout, pack, unpack, word_columns, words
 from sigloom.functions.text import term_hash
 from sigloom.operators.signatures import META
 
@@ -96,8 +97,6 @@ def read_signatures(spark: SparkSession, path: str) -> tuple[DataFrame, Header]:
     with open(path, "rb") as f:
         header = Header.unpack(f.read(96))
     kinds = ", ".join(["doc_num long", "doc_id string", *[f"{m} int" for m in META], *[f"{w} long" for w in words(header.width)]])
-    import os
-
     count = (os.path.getsize(path) - header.size) // header.record
     step = max(1, (64 << 20) // header.record)
 
@@ -134,8 +133,6 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
 
 def write_index(index: DataFrame, path: str, width: int, slice_width: int, signatures: int) -> None:
     """A slice index (slice, val, postings, n): header, counts of all values of all slices, posting lists."""
-    from sigloom.functions.bits import layout
-
     slices = layout(width, slice_width)
     with open(path, "wb") as out:
         out.write(struct.pack("<6i", len(slices), 0, 2, signatures, slice_width, width))
@@ -148,8 +145,6 @@ def write_index(index: DataFrame, path: str, width: int, slice_width: int, signa
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """write_index() read back."""
-    from sigloom.functions.bits import layout
-
     with open(path, "rb") as f:
         n, _, _, _, slice_width, width = struct.unpack("<6i", f.read(24))
         counts = [np.frombuffer(f.read(4 << (b - a)), dtype="<i4") for a, b in layout(width, slice_width)]
