@@ -5,8 +5,10 @@ digests and an xor of their checks. The difference of two fingerprints, cell by
 differ, whatever the length of the documents, and is peeled: a cell with one digest gives it away, and taking it out of its other
 cells may bare more. If cells remain, the pair is compared again with fingerprints four times as large, until none is left.
 
-Versions of a document are the documents that open with the same paragraph, in order of doc_id; each is compared with the one
-before it.
+A document is compared with its version before: the earlier document, by doc_id, that shares most paragraphs with it, wherever they
+stand. The documents last before it, and the shortest before it, with each of its paragraphs and with all of them, bound the overlap
+from below; a document with more has a paragraph outside of that many of the commonest ones, so that paragraphs of many documents
+are rarely joined.
 """
 
 from __future__ import annotations
@@ -30,12 +32,11 @@ def digest(paragraph: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, opening, digests) of the documents that have a paragraph: a line that isn't blank."""
+    """(doc_id, th, digests) of the documents that have a paragraph: a line that isn't blank."""
     text = F.col("text").cast("string")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     digests = F.array_distinct(F.transform(lines, digest))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), digests.alias("digests")).where(F.size("digests") > 0)
-    return rows.select("doc_id", "th", F.get("digests", F.lit(0)).alias("opening"), "digests").distinct()
+    return docs.select("doc_id", F.xxhash64(text).alias("th"), digests.alias("digests")).where(F.size("digests") > 0).distinct()
 
 
 def sketch(lists: list[np.ndarray], cells: int) -> np.ndarray:
@@ -87,17 +88,50 @@ def peel(new: np.ndarray, old: np.ndarray, cells: int) -> tuple[list[int], list[
     return sorted(found[0]), sorted(found[1]), done
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """(v, size, shared): the number of paragraphs of each document, and those that others have too, the rarest first."""
+    each = rows.select(F.struct("doc_id", "th").alias("v"), F.size("digests").alias("size"), F.explode("digests").alias("digest"))
+    often = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lists = each.join(often, "digest").groupBy("v", "size").agg(F.sort_array(F.collect_list(F.struct("n", "digest"))).alias("s"))
+    return lists.select("v", "size", F.col("s.digest").alias("shared"))
+
+
+def before(slim: DataFrame) -> DataFrame:
+    """(v, p) of slim (key, v, size): each document with the last and with the shortest before it that have the same key. Ranges of ids are linked by their ends."""
+    short, past = F.struct("size", "v"), (Window.unboundedPreceding, -1)
+    slim = slim.withColumn("range", F.floor(F.col("v.doc_id") / RANGE))
+    ends = slim.groupBy("key", "range").agg(F.max("v").alias("end"), F.min(short).alias("low"))
+    ranges = Window.partitionBy("key").orderBy("range")
+    ends = ends.select("key", F.col("range").alias("r"), F.lag("end").over(ranges).alias("end"), F.min("low").over(ranges.rowsBetween(*past)).alias("low"))
+    own = Window.partitionBy("key", "range").orderBy("v")
+    slim = slim.withColumns({"own": F.lag("v").over(own), "least": F.min(short).over(own.rowsBetween(*past))})
+    met = slim.alias("s").join(ends.alias("e"), (F.col("s.key") == F.col("e.key")) & F.col("range").eqNullSafe(F.col("r")))
+    both = F.array(F.coalesce("own", "end"), F.least("least", "low")["v"])
+    return met.select("v", F.explode(both).alias("p")).where("p is not null").distinct()
+
+
+def ranked(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(v, best: struct<n, size, p>): of the documents p of each v the one with most shared paragraphs; of equals the shortest, then the latest. size is negative."""
+    same = lambda x, m: (F.col(f"{x}.th") == F.col(f"{m}.v.th")) & F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{m}.v.doc_id"))
+    met = pairs.join(lists.alias("a"), same("pairs.v", "a")).join(lists.alias("b"), same("pairs.p", "b"))
+    n = F.size(F.array_intersect("a.shared", "b.shared")).alias("n")
+    return met.select("pairs.v", n, (-F.col("b.size")).alias("size"), "pairs.p").groupBy("v").agg(F.max(F.struct("n", "size", "p")).alias("best"))
+
+
 def versions(rows: DataFrame) -> DataFrame:
-    """(doc_id, th, previous_id, previous_th): each document with the one before it that opens alike. Ranges of ids are linked by their ends."""
-    one = F.struct("doc_id", "th")
-    slim = rows.select("opening", F.floor(F.col("doc_id") / RANGE).alias("range"), one.alias("v"))
-    ends = slim.groupBy("opening", "range").agg(F.max("v").alias("end"))
-    before = Window.partitionBy("opening").orderBy("range")
-    ends = ends.select("opening", F.col("range").alias("r"), F.lag("end").over(before).alias("end"))
-    own = F.lag("v").over(Window.partitionBy("opening", "range").orderBy("v"))
-    met = slim.withColumn("own", own).alias("s").join(ends.alias("e"), (F.col("s.opening") == F.col("e.opening")) & F.col("range").eqNullSafe(F.col("r")))
-    found = met.select("v", F.coalesce("own", "end").alias("p")).where("p is not null")
-    return found.select("v.doc_id", "v.th", F.col("p.doc_id").alias("previous_id"), F.col("p.th").alias("previous_th"))
+    """(doc_id, th, previous_id, previous_th): each document with the earlier one that shares most paragraphs, of those that share any."""
+    lists = cut(shared(rows), "shared")
+    keys = F.array_append("shared", F.xxhash64("shared"))
+    near = cut(ranked(before(lists.select(F.explode(keys).alias("key"), "v", "size")).alias("pairs"), lists), "near")
+    # more than best.n in common: the first common paragraph has best.n others behind it in both lists
+    each = lists.select("v", F.size("shared").alias("size"), F.posexplode("shared").alias("pos", "digest"))
+    bound = near.select(F.col("v").alias("w"), F.col("best.n").alias("least"))
+    same = (F.col("v.th") == F.col("w.th")) & F.col("v.doc_id").eqNullSafe(F.col("w.doc_id"))
+    asked = each.join(bound, same).where("pos + least < size").select("v", "least", "digest")
+    others = each.select(F.col("v").alias("p"), (F.col("size") - F.col("pos")).alias("left"), "digest")
+    more = asked.join(others, "digest").where((F.col("v") > F.col("p")) & (F.col("left") > F.col("least"))).select("v", "p").distinct()
+    found = near.unionByName(ranked(more.alias("pairs"), lists)).groupBy("v").agg(F.max("best").alias("best"))
+    return found.select("v.doc_id", "v.th", F.col("best.p.doc_id").alias("previous_id"), F.col("best.p.th").alias("previous_th"))
 
 
 def fingerprints(rows: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -124,7 +158,8 @@ def compared(pairs: DataFrame, rows: DataFrame, cells: int) -> DataFrame:
 def differences(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """(doc_id, previous_id, added, removed): sorted digests of the paragraphs that only this, or only the previous, version has.
 
-    Documents without a version before them have no row; so null texts and texts of blank lines. A paragraph counts once in a
+    The previous version is the earlier document that shares most paragraphs; of several with as many, the shortest that
+    versions() meets, then the latest. Documents that share no paragraph with an earlier one have no row; so null texts and texts of blank lines. A paragraph counts once in a
     document. Rows of equal id and text are one document; null ids come first. Ids must be numbers.
     """
     if cells % PARTS:

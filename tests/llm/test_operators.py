@@ -213,6 +213,29 @@ def test_fingerprint_grows_until_it_peels(spark):
     assert (len(rows[2]["added"]), len(rows[2]["removed"])) == (1, 0)
 
 
+def version_texts():
+    """Versions with the opening edited, prepended and removed, among documents that open with one shared passage."""
+    rnd = random.Random(8)
+    texts = []
+    for i in range(12):
+        body = [f"paragraph {i} {j} {rnd.random()}" for j in range(8)]
+        texts += ["\n".join(["one hot opening", *body]), "\n".join(["another opening", *body]), "\n".join(["new", "one hot opening", *body, "end"]), "\n".join(body[1:])]
+    rnd.shuffle(texts)
+    return texts + ["one hot opening\nnothing else in common", "alone"]
+
+
+def test_previous_version_shares_most_paragraphs(spark):
+    texts = version_texts()
+    sets = [set(t.split("\n")) for t in texts]
+    most = {i: m for i in range(len(sets)) if (m := max((len(sets[i] & sets[j]) for j in range(i)), default=0))}
+    rows = {r["doc_id"]: r for r in fingerprints.differences(frame(spark, texts)).collect()}
+    assert rows.keys() == most.keys()
+    for i, r in rows.items():
+        old = sets[r["previous_id"]]
+        assert r["previous_id"] < i and len(sets[i] & old) == most[i]
+        assert (len(r["added"]), len(r["removed"])) == (len(sets[i] - old), len(old - sets[i]))
+
+
 # ---- learned scores ----
 
 
