@@ -4,6 +4,7 @@ For each format of labelled credentials a probabilistic automaton is inferred: t
 states are merged, red by blue, where the frequencies of stopping and going on agree within Hoeffding's bound, also of all states
 behind them (ALERGIA; Carrasco and Oncina, 1994). One more automaton is inferred from labelled strings that are no credentials.
 Every candidate of every text is then scored: the log-likelihood a symbol under the best format, against that of the other automaton.
+A candidate is a run of characters, or a part of one from any separator to another, as a key behind its name, in a path or before a full stop.
 
 Automata read symbols, not characters: the prefix that all examples of a format share stays literal, behind it separators stay
 literal, and letters and digits between separators are written as the narrowest class that holds all of them. A format's automaton
@@ -18,6 +19,7 @@ import random
 import re
 import string
 from collections import defaultdict, deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 
 from sigloom.session import table
 
-#: Candidates: runs of these characters, 16 at least, with a digit; Java's and Python's syntax.
+#: Candidates: runs of these characters, SHORTEST at least, and their parts; Java's and Python's syntax.
 CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9_\-+/=.]{15,}"
+SHORTEST = 16
 #: Confidence of a merge; probability of what an automaton has not seen; share of held-out credentials that may score below the bar.
 ALPHA, UNSEEN, MISSED = 0.05, 1e-4, 0.01
 #: Labelled strings used at most of each format.
@@ -44,6 +47,7 @@ CLASSES = (
     ("a", string.ascii_letters + string.digits),
 )
 _RUN = re.compile(r"[A-Za-z0-9]+|.", re.DOTALL)
+_TOKEN, _DIGIT = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[0-9]")
 
 
 def labelled_examples(seed: int = 5, each: int = LABELLED) -> list[tuple[str, str]]:
@@ -190,6 +194,8 @@ def infer(words: list[list[str]], alpha: float = ALPHA) -> Automaton:
 class Scanner:
     formats: list[tuple[str, str, Automaton]]
     bars: dict[str, float]
+    #: Most tokens between separators that an example of a format has.
+    tokens: int = 1
 
     def best(self, text: str) -> tuple[str, float, float]:
         """The best format, its log-likelihood a character, and what that is above the other strings' automaton."""
@@ -206,6 +212,25 @@ class Scanner:
         name, score, above = self.best(text)
         return name, round(above, 9), name != OTHER and above > 0 and score >= self.bars[name]
 
+    def parts(self, run: str) -> Iterator[tuple[int, int]]:
+        """The run, and each part of it from a separator to another, of no more tokens than examples have."""
+        yield 0, len(run)
+        found = [m.span() for m in _TOKEN.finditer(run)]
+        for i, (start, _) in enumerate(found):
+            for _, end in found[i : i + self.tokens]:
+                if SHORTEST <= end - start < len(run):
+                    yield start, end
+
+    def found(self, run: str) -> list[tuple[str, str, float, bool]]:
+        """(candidate, format, score, is_secret) of the secrets of a run, of those that overlap the one most above other strings; else of the run, if it has a digit."""
+        scored = [(start, end, *self.is_secret(run[start:end])) for start, end in self.parts(run)]
+        kept: list[tuple[int, int, str, float, bool]] = []
+        for x in sorted((x for x in scored if x[4]), key=lambda x: (-x[3] * (x[1] - x[0] + 1), x[0])):
+            if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
+                kept.append(x)
+        rows = sorted(kept) or (scored[:1] if _DIGIT.search(run) else [])
+        return [(run[start:end], *rest) for start, end, *rest in rows]
+
 
 def fit(examples: list[tuple[str, str]]) -> Scanner:
     """Automata from four fifths of the examples of each format; bars from the rest. An example is used once, however often it is given."""
@@ -219,6 +244,8 @@ def fit(examples: list[tuple[str, str]]) -> Scanner:
         train = texts[: max(1, len(texts) * 4 // 5)]
         prefix = "" if name == OTHER else os.path.commonprefix(texts)
         scanner.formats.append((name, prefix, infer([symbols(t, prefix)[0] for t in train])))
+        if name != OTHER:
+            scanner.tokens = max(scanner.tokens, *(len(_TOKEN.findall(t)) for t in texts))
     for name, texts in by.items():
         if name != OTHER:
             held = sorted(scanner_score(scanner, name, t) for t in texts[:LABELLED][max(1, len(texts[:LABELLED]) * 4 // 5) :] or texts)
@@ -233,29 +260,35 @@ def scanner_score(scanner: Scanner, name: str, text: str) -> float:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, nth, candidate): every run of a text that could be a credential, in order, from 0."""
+    """(doc_id, runs): the runs of each text that could be or hold a credential, in order."""
     found = F.regexp_extract_all(F.col("text").cast("string"), F.lit(CANDIDATE), F.lit(0))
-    rows = docs.select("doc_id", F.filter(found, lambda x: x.rlike("[0-9]")).alias("found"))
-    return rows.select("doc_id", F.posexplode("found").alias("nth", "candidate"))
+    return docs.select("doc_id", found.alias("runs")).where(F.size("runs") > 0)
 
 
 def scan(docs: DataFrame, examples: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(doc_id, nth, candidate, format, score, is_secret) for each candidate of each row of docs.
+    """(doc_id, nth, candidate, format, score, is_secret) for each candidate of each row of docs, in order, nth from 0.
 
-    score is the log-likelihood a character above that of other strings. Null and empty texts have no candidates; repeated rows have
-    theirs each; long texts are scanned whole. Without examples labelled_examples() are used. An empty table gives an empty result.
+    Of a run that holds secrets, each of them is a candidate; any other run with a digit is one as a whole. score is the log-likelihood
+    a character above that of other strings. Null and empty texts have no candidates; repeated rows have theirs each; long texts are
+    scanned whole. Without examples labelled_examples() are used. An empty table gives an empty result.
     """
     scanner = fit(labelled_examples() if examples is None else examples)
 
-    @F.pandas_udf("struct<format: string, score: double, is_secret: boolean>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        known: dict[str, tuple[str, float, bool]] = {}
-        for t in texts:
-            if t not in known:
-                known[t] = scanner.is_secret(t)
-        return pd.DataFrame([known[t] for t in texts], columns=["format", "score", "is_secret"])
-
-    return candidates(docs).select("doc_id", "nth", "candidate", run("candidate").alias("x")).select("doc_id", "nth", "candidate", "x.*")
+    @F.pandas_udf("struct<candidate: array<string>, format: array<string>, score: array<double>, is_secret: array<boolean>>")
+    def run(lists: pd.Series) -> pd.DataFrame:
+        known: dict[str, list[tuple[str, str, float, bool]]] = {}
+        out = []
+        for runs in lists:
+            for t in runs:
+                if t not in known:
+                    known[t] = scanner.found(t)
+            rows = [x for t in runs for x in known[t]]
+            out.append([[x[i] for x in rows] for i in range(4)])
+        return pd.DataFrame(out, columns=["candidate", "format", "score", "is_secret"])
+
+    rows = candidates(docs).select("doc_id", run("runs").alias("x"))
+    rows = rows.select("doc_id", F.posexplode(F.arrays_zip("x.candidate", "x.format", "x.score", "x.is_secret")).alias("nth", "x"))
+    return rows.select("doc_id", "nth", "x.candidate", "x.format", "x.score", "x.is_secret")
 
 
 def op4_grammar_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
