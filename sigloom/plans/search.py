@@ -19,6 +19,8 @@ from sigloom.sources import results as R
 
 MD5 = Projection(width=64, method="MD5")
 SLICE, RADIUS, K, RERANK = 16, 1, 10, 50
+#: Slice, radius and re-ranked signatures of the registered search: those above, which its SQL has, find about one in eight of the nearest.
+FOUND_BY = 8, 2, 200
 
 # ---- tables ----
 
@@ -175,7 +177,8 @@ votes AS (SELECT p.doc_num AS query, s.doc_num AS found, sum(score)::BIGINT AS v
 
 
 def issl_search(spark: SparkSession, sf: str) -> DataFrame:
-    return slices.search(embedded(spark, sf), K, RERANK, SLICE, RADIUS)
+    slice_width, radius, rerank = FOUND_BY
+    return slices.search(embedded(spark, sf), K, rerank, slice_width, radius)
 
 
 ISSL_SEARCH = f"""WITH {VOTES},

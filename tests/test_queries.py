@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__
 from sigloom import catalog
+from sigloom.operators import slices
+from sigloom.plans import search
 from tests.oracle import difference, duck
 
 SMALL = "/root/testdata/sf0.001"
@@ -25,6 +27,19 @@ def test_query(spark, con, name):
         assert df.count() > 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_issl_search_recall(spark, sf):
+    """Of the 10 nearest by exhaustive search, at least nine in ten are found."""
+    rows = lambda name: {(r["doc_num"], r["found_num"]) for r in catalog.queries()[name](spark, f"/root/testdata/{sf}").collect()}
+    exact = rows("exhaustive_docsim")
+    assert len(exact & rows("issl_search")) >= 0.9 * len(exact)
+
+
+def test_slice_search_matches_sql_at_its_parameters(spark, con):
+    found = slices.search(search.embedded(spark, SMALL), search.K, search.RERANK, search.SLICE, search.RADIUS)
+    assert difference(found, con, catalog.oracle_sql()["issl_search"]) is None
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["topic_id", "rank", "score", "dist", "doc_id", "quality"]
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
