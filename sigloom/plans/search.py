@@ -299,9 +299,9 @@ sampled AS (SELECT *, row_number() OVER (PARTITION BY topic_id, relevant ORDER B
 
 
 def text_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    """Topics searched by their first 100 characters, refined by all of their text."""
+    """Topics searched by their first line, refined by all of their text."""
     s, sig = stats(spark, sf), documents(spark, sf)
-    short = topics(spark, sf).select("topic_id", F.substring("text", 1, 100).alias("text"), F.col("text").alias("refine"))
+    short = topics(spark, sf).select("topic_id", F.substring_index("text", "\n", 1).alias("text"), F.col("text").alias("refine"))
     query, refine = (signatures.query_signatures(t, MD5, s) for t in feedback.refined(short))
     found = cut(S.search(sig, query, FED).select("topic_id", "rank", "dist", "doc_num", "doc_id", "quality", "offset_begin"), "results")
     return feedback.by_text(found, sig, refine, RERANKED).select("topic_id", "doc_id", "dist", "rank")

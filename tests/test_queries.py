@@ -6,7 +6,8 @@ import pytest
 
 import __spark_entry__
 from sigloom import catalog
-from sigloom.operators import slices
+from sigloom.operators import search as exact
+from sigloom.operators import signatures, slices
 from sigloom.plans import search
 from tests.oracle import difference, duck
 
@@ -31,8 +32,17 @@ def test_query(spark, con, name):
 def test_issl_search_recall(spark, sf):
     """Of the 10 nearest by exhaustive search, at least nine in ten are found."""
     rows = lambda name: {(r["doc_num"], r["found_num"]) for r in catalog.queries()[name](spark, f"/root/testdata/{sf}").collect()}
-    exact = rows("exhaustive_docsim")
-    assert len(exact & rows("issl_search")) >= 0.9 * len(exact)
+    wanted = rows("exhaustive_docsim")
+    assert len(wanted & rows("issl_search")) >= 0.9 * len(wanted)
+
+
+def test_topic_refine_searches_by_the_first_line(spark):
+    stats, sig = search.stats(spark, SMALL), search.documents(spark, SMALL)
+    lines = search.topics(spark, SMALL).toPandas()
+    lines["text"] = [t.split("\n")[0] for t in lines["text"]]
+    asked = signatures.query_signatures(spark.createDataFrame(lines), search.MD5, stats)
+    wanted = {(r["topic_id"], r["doc_id"]) for r in exact.search(sig, asked, search.FED).collect()}
+    assert {(r["topic_id"], r["doc_id"]) for r in catalog.queries()["topic_refine"](spark, SMALL).collect()} == wanted
 
 
 def test_slice_search_matches_sql_at_its_parameters(spark, con):
