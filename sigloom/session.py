@@ -32,9 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or, in a local session only, one of our own where it is unset (tests)."""
     path = spark.conf.get(CHECKPOINT_KEY, None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='sigloom-')}"
         spark.conf.set(CHECKPOINT_KEY, path)
     return path
