@@ -43,9 +43,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def saved(df: DataFrame, name: str = "cut") -> str:
+    """Write ``df`` to a new folder of the shared folder; its path."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: a short lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(saved(df, name))
+
+
+def read_packed(folder: str, columns: list[str]) -> dict[str, list[bytes]]:
+    """In a worker: the values of binary columns of a table in the shared folder."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    scheme, _, rest = folder.partition("://")
+    if scheme == "file" or not rest:
+        files, path = fs.LocalFileSystem(), rest or folder
+    else:
+        files, path = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + "://" + rest)
+    found = ds.dataset(path, format="parquet", filesystem=files).to_table(columns=columns)
+    return {c: found[c].to_pylist() for c in columns}
