@@ -2,12 +2,13 @@
 
 A text is split into words by the vocabulary's pattern. A word's bytes are folded: in each step the adjacent pair of least rank,
 the first of equals, is merged, until no pair has a rank; ranks come from a literal map, laid out as hash buckets so that a look-up
-reads about two entries. Words recur, so they are counted over all documents and each distinct word is folded once. The folded
-words, or the commonest of them up to ``DICTIONARY`` if there are more, are packed and broadcast; words beyond that bound are folded
-where they stand. Nothing but distinct words is shuffled. Decoding looks up the binary pieces and concatenates them.
+reads about two entries. Words recur, so they are counted over all documents and each word that does is folded once. Folded words
+are a table in the shared folder, which each worker process reads once; nothing of it comes to the driver. Workers hold no more than
+the ``DICTIONARY`` commonest words; other words are folded by the same expression once for each text they are in. Nothing but distinct
+words is shuffled. Decoding looks up the binary pieces and concatenates them.
 
-Splitting is whole-array arithmetic on code points. A fold of n bytes looks up about n * n / 2 pairs, so words of more than
-``LONG`` bytes, which the splitter meets anyway, are merged there with the pairs in a heap.
+Splitting is whole-array arithmetic on code points. A fold of n bytes copies arrays of n numbers n times, so words of more than
+``LONG`` bytes (a blob without spaces may have a million) are merged by the splitter, with the pairs in a heap: the same ids.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import base64
 import heapq
 import json
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from sigloom.llm.names import fresh
-from sigloom.llm.words import stretches
-from sigloom.session import cut, table
+from sigloom.llm.words import mix, stretches
+from sigloom.session import cut, read_packed, saved, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Words that a worker holds (about 50 bytes each); bytes of the longest word that is folded; buckets of the rank map.
 DICTIONARY, LONG, BUCKETS = 2_000_000, 64, 65536
 
 
@@ -208,10 +209,18 @@ def _slices(texts: pa.Array) -> Iterator[list[str]]:
         yield part
 
 
+_SPREAD = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return stretches(np.frombuffer(data, dtype=np.uint8), start, end)
 
 
+def _checks(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Second hashes, of 32 bits: words are told apart by 96 bits."""
+    return (stretches(_SPREAD[np.frombuffer(data, dtype=np.uint8)], start, end) >> np.uint64(32)).astype(np.uint32)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n), several times over for words that recur after long."""
     words: dict[int, bytes] = {}
@@ -248,42 +257,50 @@ def distinct_words(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+_PACKED = {"key": np.uint64, "check": np.uint32, "sizes": np.uint8, "ids": np.int32}
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Folded words as packed numbers: hashes, numbers of ids, ids."""
+    """Folded words as packed numbers: hashes, second hashes, numbers of ids, ids."""
     for batch in batches:
         words = batch.column(0).cast(pa.binary()).to_pylist()
         ids = batch.column(1)
         at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-        key = _hashes(b"".join(words) + b" ", at[:-1], at[1:])
-        sizes, flat = np.diff(ids.offsets.to_numpy()).astype(np.uint8), ids.flatten().to_numpy().astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], type=pa.binary()) for x in (key, sizes, flat)], names=["key", "sizes", "ids"])
-
+        data = b"".join(words) + b" "
+        found = {"key": _hashes(data, at[:-1], at[1:]), "check": _checks(data, at[:-1], at[1:]), "sizes": np.diff(ids.offsets.to_numpy()), "ids": ids.flatten().to_numpy()}
+        yield pa.RecordBatch.from_arrays([pa.array([found[k].astype(kind).tobytes()], type=pa.binary()) for k, kind in _PACKED.items()], names=list(_PACKED))
 
-def dictionary(docs: DataFrame, path: str = VOCABULARY, size: int = DICTIONARY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of folded words, numbers of ids, ids: of all words, or of those that occur so often that no more than ``size`` do.
 
-    About 20 bytes a word go to the driver and to the workers.
-    """
+def dictionary(docs: DataFrame, path: str = VOCABULARY, size: int = DICTIONARY) -> str:
+    """The folder of a table (key, check, sizes, ids), packed: of all words that recur, or of those that occur so often that no more than ``size`` do."""
     spark = docs.sparkSession
     words = cut(distinct_words(docs), "words")
-    often = words.groupBy("n").agg(F.count(F.lit(1)).alias("c")).select("n", F.sum("c").over(Window.orderBy(F.desc("n"))).alias("upto"))
+    often = words.where("n > 1").groupBy("n").agg(F.count(F.lit(1)).alias("c")).select("n", F.sum("c").over(Window.orderBy(F.desc("n"))).alias("upto"))
     least = often.where(F.col("upto") <= size).agg(F.min("n")).first()[0]
     words = words.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
     words = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     folded = words.select("word", _let(_rank_map(path), lambda m: fold(F.col("word"), m)).alias("ids"))
-    parts = folded.mapInArrow(_pack, "key binary, sizes binary, ids binary").collect()
-    kinds = {"key": np.uint64, "sizes": np.uint8, "ids": np.int32}
-    return tuple(np.concatenate([np.zeros(0, k), *(np.frombuffer(p[name], k) for p in parts)]) for name, k in kinds.items())
+    return saved(folded.mapInArrow(_pack, ", ".join(f"{k} binary" for k in _PACKED)), "dictionary")
 
 
 class Lookup:
     """Finds words of the dictionary by hash, in an open table built once in each worker process."""
 
     current: Lookup | None = None
-    name: str | None = None
-
-    def __init__(self, key: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+    folder: str | None = None
+
+    @classmethod
+    def of(cls, folder: str) -> Lookup:
+        """The dictionary of a folder; the one before it is let go."""
+        if cls.folder != folder:
+            cls.current = None
+            packed = read_packed(folder, list(_PACKED))
+            cls.current, cls.folder = cls(**{k: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in packed.pop(k))]) for k, kind in _PACKED.items()}), folder
+        return cls.current
+
+    def __init__(self, key: np.ndarray, check: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         self.key, self.sizes, self.ids = np.concatenate([key, [np.uint64(0)]]), np.concatenate([sizes, [0]]).astype(np.int32), ids
+        self.check = np.concatenate([check, [np.uint32(0)]])
         self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         self.bits = np.uint64(64 - max(4, int(len(key) * 3).bit_length()))
         self.table = np.full(1 << (64 - int(self.bits)), len(key), dtype=np.int32)
@@ -297,7 +314,7 @@ class Lookup:
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return (key >> self.bits).astype(np.int64)
 
-    def find(self, key: np.ndarray) -> np.ndarray:
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Places of words in the dictionary; its length for those that aren't there."""
         slot = self._slot(key)
         place = self.table[slot]
@@ -306,7 +323,7 @@ class Lookup:
             slot[open_] = (slot[open_] + 1) & (len(self.table) - 1)
             place[open_] = self.table[slot[open_]]
             open_ = open_[(self.key[place[open_]] != key[open_]) & (place[open_] < len(self.key) - 1)]
-        return place
+        return np.where(self.check[place] == check, place, len(self.key) - 1)
 
 
 def _spread(lengths: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -315,12 +332,9 @@ def _spread(lengths: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], name: str, shared, path_ranks, added: list[str]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    """Adds two columns, ids of runs of known words and the words between them, to each batch, whose last column is the text."""
-    if Lookup.current is None or Lookup.current.name != name:
-        Lookup.current = Lookup(*shared.value)
-        Lookup.current.name = name
-    words_ = Lookup.current
+def _assemble(batches: Iterator[pa.RecordBatch], folder: str, path_ranks, added: list[str]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """Adds three columns to each batch, whose last column is the text: ids of runs of known words, which word follows each run, and those words."""
+    words_ = Lookup.of(folder)
     flat, none = words_.ids, len(words_.key) - 1
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
@@ -328,7 +342,8 @@ def _assemble(batches: Iterator[pa.RecordBatch], name: str, shared, path_ranks,
         for part in _slices(texts):
             data, doc, start, end = split(part)
             small = end - start <= LONG
-            place = np.where(small, words_.find(_hashes(data, start, end)), none)
+            key = _hashes(data, start, end)
+            place = np.where(small, words_.find(key, _checks(data, start, end)), none)
             known = place < none
             begins, sizes = words_.begins[place], words_.sizes[place]
             pool = flat
@@ -342,39 +357,55 @@ def _assemble(batches: Iterator[pa.RecordBatch], name: str, shared, path_ranks,
             upto = np.concatenate([[0], np.cumsum(sizes)])
             gap = np.flatnonzero(~known & small)
             rows = np.arange(len(part))
-            # a text's parts end at its unknown words and at its end
+            # a text's runs end at its unknown words and at its end
             last = np.searchsorted(doc, rows, side="right")
             ends = np.sort(np.concatenate([gap * 2, last * 2 - 1]), kind="stable")
             part_ends = upto[np.where(ends % 2 == 0, ends // 2, (ends + 1) // 2)]
             unknown = np.searchsorted(gap, last)
-            words = pa.array([data[a:b] for a, b in zip(start[gap].tolist(), end[gap].tolist(), strict=True)], type=pa.binary()).cast(pa.string())
-            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], part_ends]).astype(np.int32)), pa.array(ids))
-            outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], unknown + rows + 1]).astype(np.int32)), inner)
-            missing = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], unknown]).astype(np.int32)), words)
+            # each unknown word once a text
+            order = np.lexsort((key[gap], doc[gap]))
+            own, hashes = doc[gap][order], key[gap][order]
+            new = np.ones(len(gap), dtype=bool)
+            new[1:] = (own[1:] != own[:-1]) | (hashes[1:] != hashes[:-1])
+            once = gap[order[new]]
+            distinct = np.searchsorted(doc[once], rows, side="right")
+            which = np.empty(len(gap), dtype=np.int32)
+            which[order] = np.cumsum(new) - 1 - np.concatenate([[0], distinct])[own]
+            words = pa.array([data[a:b] for a, b in zip(start[once].tolist(), end[once].tolist(), strict=True)], type=pa.binary()).cast(pa.string())
+            listed = lambda offsets, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], offsets]).astype(np.int32)), values)
+            runs = listed(unknown + rows + 1, listed(part_ends, pa.array(ids)))
             same = batch.slice(row, len(part))
-            yield pa.RecordBatch.from_arrays([*same.columns, outer, missing], names=[*same.schema.names, *added])
+            yield pa.RecordBatch.from_arrays([*same.columns, runs, listed(unknown, pa.array(which)), listed(distinct, words)], names=[*same.schema.names, *added])
             row += len(part)
 
 
+_known: dict[tuple[str, str], object] = {}
+
+
+def _shared_ranks(context, path: str):  # noqa: ANN001, ANN202
+    """The vocabulary as a broadcast, of which there is one for each application and path."""
+    key = (context.applicationId, path)
+    if key not in _known:
+        _known[key] = context.broadcast(ranks(path))
+    return _known[key]
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY, size: int = DICTIONARY) -> DataFrame:
     """docs with ``token_ids``, which replaces a column of that name.
 
     A null text has null ids, an empty one none. Ids follow the vocabulary of ``path``; every byte is in it, so every text can be
     encoded. Repeated rows are encoded each. All other columns stay, whatever their names.
     """
-    context = docs.sparkSession.sparkContext
-    shared, known = context.broadcast(dictionary(docs, path, size)), context.broadcast(ranks(path))
-    name = uuid.uuid4().hex
+    known, folder = _shared_ranks(docs.sparkSession.sparkContext, path), dictionary(docs, path, size)
     rest = [c for c in docs.columns if c != "token_ids"]
-    whole, parts, words_ = fresh(rest, "whole", "parts", "words")
+    whole, parts, which, words_ = fresh(rest, "whole", "parts", "which", "words")
     given = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias(whole))
-    schema = StructType([*given.schema.fields, StructField(parts, ArrayType(ArrayType(IntegerType()))), StructField(words_, ArrayType(StringType()))])
-    found = given.mapInArrow(lambda b: _assemble(b, name, shared, known, [parts, words_]), schema)
+    added = [StructField(parts, ArrayType(ArrayType(IntegerType()))), StructField(which, ArrayType(IntegerType())), StructField(words_, ArrayType(StringType()))]
+    found = given.mapInArrow(lambda b: _assemble(b, folder, known, [parts, which, words_]), StructType([*given.schema.fields, *added]))
 
     def joined(rank_map: Column) -> Column:
-        return F.flatten(
-            F.transform(parts, lambda p, k: F.when(k < F.size(words_), F.concat(p, fold(F.get(words_, k), rank_map))).otherwise(p))
-        )
+        folded = F.transform(words_, lambda w: fold(w, rank_map))
+        return _let(folded, lambda ids: F.flatten(F.transform(parts, lambda p, k: F.when(k < F.size(which), F.concat(p, F.get(ids, F.get(which, k)))).otherwise(p))))
 
     ids = F.when(F.size(words_) == 0, F.get(parts, F.lit(0))).otherwise(_let(_rank_map(path), joined))
     return found.select(*[F.col(f"`{c}`") for c in rest], F.when(F.col("text").isNotNull(), ids).alias("token_ids"))
