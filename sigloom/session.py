@@ -55,8 +55,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(saved(df, name))
 
 
-def read_packed(folder: str, columns: list[str]) -> dict[str, list[bytes]]:
-    """In a worker: the values of binary columns of a table in the shared folder."""
+def read_packed(folder: str, columns: list[str]) -> list[dict[str, bytes]]:
+    """In a worker: rows of binary columns of a table in the shared folder."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
@@ -65,5 +65,5 @@ def read_packed(folder: str, columns: list[str]) -> dict[str, list[bytes]]:
         files, path = fs.LocalFileSystem(), rest or folder
     else:
         files, path = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + "://" + rest)
-    found = ds.dataset(path, format="parquet", filesystem=files).to_table(columns=columns)
-    return {c: found[c].to_pylist() for c in columns}
+    batches = ds.dataset(path, format="parquet", filesystem=files).to_batches(columns=columns, use_threads=False, batch_readahead=0, fragment_readahead=1)
+    return [row for batch in batches for row in batch.to_pylist()]
