@@ -64,7 +64,7 @@ def text_features(texts: list[str | None]) -> np.ndarray:
             share(batch, SYMBOL, size),
             share(batch, PAUSE, size),
             np.maximum(share(batch, BREAK, size) - 1 / size, 0),
-            distinct(batch.doc, batch.hash, batch.size) / np.clip(count, 1, 200),
+            np.log1p(distinct(batch.doc, batch.hash, batch.size)) / np.log1p(words),
             np.bincount(batch.doc, same, batch.size) / words,
             np.bincount(batch.doc, initial, batch.size) / words,
             np.bincount(batch.doc, long_ > 15, batch.size) / words,

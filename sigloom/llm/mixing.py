@@ -5,7 +5,8 @@ divided by the source's target weight; in the order of finish times every prefix
 as long as they last. That order is cut off at the total budget.
 
 No source is one task: hash keys fall into ``buckets`` equal ranges, whose token sums give each range its start, and ranges are
-summed up by themselves; the same is done with ranges of finish times to find the place of the cut.
+summed up by themselves. The global order is a range sort, whose ranges hold equal numbers of documents however finish times are
+spread; their token sums tell which range holds the cut, and only that one is summed up row by row.
 """
 
 from __future__ import annotations
@@ -66,11 +67,10 @@ def schedule(
         weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
     done = once.withColumn("sum", F.sum("n_tokens").over(within)).join(starts, ["source", "bucket"])
     done = done.select("doc_id", "rid", "source", "n_tokens", "key", ((F.col("before") + F.col("sum")) / weight).alias("finish"))
-    done = cut(done, "finish")
-    total, most = done.agg(F.sum("n_tokens"), F.max("finish")).first()
-    budget, width = math.floor(share * (total or 0)), max(1.0, (most or 0.0) / buckets)
-    done = done.withColumn("part", F.floor(F.col("finish") / width))
-    parts = done.groupBy("part").agg(F.sum("n_tokens").alias("t"))  # no more than buckets + 1 rows
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done = cut(done.repartitionByRange(ranges, "finish", "source", "key", "doc_id", "rid").withColumn("part", F.spark_partition_id()), "finish")
+    parts = cut(done.groupBy("part").agg(F.sum("n_tokens").alias("t")), "parts")  # a row a range
+    budget = math.floor(share * (parts.agg(F.sum("t")).first()[0] or 0))
     sums = parts.select("part", "t", F.sum("t").over(Window.orderBy("part")).alias("upto"))
     edge = sums.where(F.col("upto") > budget).agg(F.min_by(F.struct("part", F.expr("upto - t").alias("taken")), "part")).first()[0]
     if edge is not None:
@@ -84,10 +84,10 @@ def schedule(
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of docs within the budget, in mixing order, with docs' columns. Options and odd cases: see schedule()."""
     plan = schedule(docs.select("doc_id", "source", "text"), **options)
-    rid, finish, source, key = fresh(docs.columns, "rid", "finish", "source_name", "key")
-    plan = plan.select(F.col("rid").alias(rid), F.col("finish").alias(finish), F.col("source").alias(source), F.col("key").alias(key))
-    met = docs.join(plan, row_key() == F.col(rid))
-    return met.orderBy(finish, source, key, rid).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rid, own, finish, source, key = fresh(docs.columns, "rid", "own_id", "finish", "source_name", "key")
+    plan = plan.select(F.col("rid").alias(rid), F.col("doc_id").alias(own), F.col("finish").alias(finish), F.col("source").alias(source), F.col("key").alias(key))
+    met = docs.join(plan, (row_key() == F.col(rid)) & F.col("doc_id").eqNullSafe(F.col(own)))
+    return met.orderBy(finish, source, key, own, rid).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_weighted_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sigloom.llm.features import DIGIT, SYMBOL, UPPER, distinct, isotonic, share
 from sigloom.llm.words import Batch, slices, stretches
-from sigloom.session import table
+from sigloom.session import cut, table
 
 #: Labelled documents used at most, those of least hash of each class.
 LABELLED = 10_000
@@ -230,13 +230,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     truth = labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic is not null")
     chosen = truth.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     chosen = chosen.union(truth.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)).withColumn("part", part)
+    chosen = cut(chosen, "chosen")
     sizes = {(r["toxic"], r["fold"]): r["n"] for r in chosen.groupBy("toxic", _fold().alias("fold")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = {y: sum(n for (z, _), n in sizes.items() if z == y) for y in (0, 1)}
     nothing = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0))
     flat = Model(nothing, None, (np.array([0.0]), np.array([total[1] / max(1, sum(total.values()))])))
     if not all(total.values()):
         return flat
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("fold", _fold())
+    # the labels of the bounded sample are few, however many rows one id has
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    known = cut(known.groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text")).withColumn("fold", _fold()), "known")
     counts = known.where("fold < 2").select("fold", "toxic", "text").mapInPandas(terms, "fold int, kind int, term long, toxic long, clean long")
     both = F.sum("toxic").over(Window.partitionBy("kind", "term"))
     sums = counts.groupBy("fold", "kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).withColumn("all", both)
@@ -272,7 +275,7 @@ def scored(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Data
     """(doc_id, score, toxic) for each row of docs.
 
     score is the calibrated probability, on a sample with as many documents of either class as the bound lets in. Null and empty
-    texts have all features 0. Repeated rows get equal scores; of several labels of a document the highest counts; documents with a
+    texts have all features 0. Repeated rows get equal scores; of several labels of a document the highest counts; of several texts of one id the least is learned from; documents with a
     null id are scored but never labelled. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, labelled))

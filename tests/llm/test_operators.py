@@ -110,25 +110,29 @@ def test_components(spark):
 
 
 def brute_line_dedup(texts):
-    seen, out = {}, []
-    for d, text in enumerate(texts):
-        lines = line_dedup.lines_of(text)
-        bare = [x.strip() for x in lines]
+    """texts in the order of their ids."""
+    import hashlib
+
+    k, span = line_dedup.MIN_WORDS, line_dedup.SPAN
+    h = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+    seen, out = set(), []
+    for text in texts:
+        tokens = line_dedup.tokens_of(text)
+        words = [t.strip(" \t\n\r") for t in tokens]
+        order = [((h(words[i]) + 31 * h(words[i + 1])) % 2**32, -i) for i in range(len(words) - k + 1)]
+        spans = [order[i : i + span] for i in range(max(1, len(order) - span + 1))] if order else []
         gone = set()
-        for i in range(len(lines)):
-            words, j = 0, i
-            while j < len(lines) and words < line_dedup.MIN_WORDS:
-                words += bare[j].count(" ") + 1
-                j += 1
-            if words >= line_dedup.MIN_WORDS:
-                if tuple(bare[i:j]) in seen:
-                    gone |= set(range(i, j))
-                seen.setdefault(tuple(bare[i:j]), (d, i))
-        out.append("".join(x for i, x in enumerate(lines) if i not in gone))
+        for i in sorted({-min(x)[1] for x in spans}):
+            line = tuple(words[i : i + k])
+            if line in seen:
+                gone |= set(range(i, i + k))
+            seen.add(line)
+        lead = text[: len(text) - len("".join(tokens))]
+        out.append(lead + "".join(t for i, t in enumerate(tokens) if i not in gone) if gone else text)
     return out
 
 
-def test_line_dedup_matches_brute_force(spark):
+def odd_lines():
     rnd = random.Random(4)
     pool = [" ".join(f"w{rnd.randrange(500)}" for _ in range(rnd.randint(3, 14))) + rnd.choice([".", "!", ","]) for _ in range(60)]
     texts = []
@@ -136,9 +140,45 @@ def test_line_dedup_matches_brute_force(spark):
         lines = [rnd.choice(pool) if rnd.random() < 0.3 else f"own {rnd.random()}." for _ in range(rnd.randint(1, 12))]
         at = rnd.randrange(len(pool) - 6)
         lines[1:1] = pool[at : at + 6] if rnd.random() < 0.5 else []
-        texts.append(rnd.choice([" ", "\n"]).join(lines))
+        texts.append(rnd.choice([" ", "\n", "  \r\n\n"]).join(lines))
+    wide = "".join(rnd.choice("天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往") for _ in range(40))
+    return texts + [f"序言。{wide}。完", f"別的開頭，{wide}，然後", "  \n lead " + texts[3], "é à ü " * 30, "a s b t c. " * 20, "x" * 3000]
+
+
+def test_line_dedup_matches_brute_force(spark):
+    texts = odd_lines()
     rows = line_dedup.drop_repeats(frame(spark, texts)).orderBy("doc_id").collect()
     assert [r["text"] for r in rows] == brute_line_dedup(texts)
+    assert sum(r["words_removed"] > 0 for r in rows) > 10 and rows[41]["words_removed"] >= line_dedup.MIN_WORDS
+
+
+def test_line_dedup_blocks_make_no_difference(spark, monkeypatch):
+    """The same rows whether equal windows meet within a block or in the shuffle; rows of equal id and text are one document."""
+    texts = odd_lines()
+    docs = frame(spark, texts)
+    wanted = sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_repeats(docs).collect())
+    for parts in (1, 7):
+        twice = docs.union(docs).repartition(parts)
+        assert sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_repeats(twice).distinct().collect()) == wanted
+
+
+def test_passages_within_sentences_go(spark):
+    """Passages of 51 and 37 words, without or with one full stop, pasted mid-sentence: the first stays whole, of later ones under 2 * SPAN words do."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(4, 9)))
+    for size in (51, line_dedup.MIN_WORDS + line_dedup.SPAN - 1):
+        texts, passages = [], []
+        for i in range(30):
+            passage = [word() for _ in range(size)]
+            if i % 2:
+                passage[rnd.randrange(5, 35)] += "."
+            passages.append(set(passage))
+            texts += [" ".join([*(word() for _ in range(60)), *passage, *(word() for _ in range(60))]) for _ in range(3)]
+        rows = [r["text"].split() for r in line_dedup.drop_repeats(frame(spark, texts)).orderBy("doc_id").collect()]
+        for i, row in enumerate(rows):
+            left = len(passages[i // 3] & set(row))
+            assert left == size if i % 3 == 0 else left <= 2 * (line_dedup.SPAN - 1)
+            assert len(row) == 120 + left
 
 
 # ---- BPE ----
@@ -188,6 +228,34 @@ def test_thresholds_limit_false_rejection():
     assert quality_rules.strictest({13: 970, 5: 30}, 0.01, 0.02) == 4
 
 
+def brute_schedule(rows, weights, share):
+    """rows: (doc_id, text, lang, source, n_chars)."""
+    import hashlib
+    from fractions import Fraction
+
+    key = lambda i: int(hashlib.md5(f"{i}:{mixing.SEED}".encode()).hexdigest()[:15], 16)
+    sums, done = {}, []
+    for i, text, _, source, _ in sorted(rows, key=lambda r: (r[3], key(r[0]), r[0])):
+        sums[source] = sums.get(source, 0) + len(text.split())
+        done.append((Fraction(sums[source]) / Fraction(weights.get(source, mixing.OTHERS)), source, key(i), i, len(text.split())))
+    budget, out = math.floor(share * sum(d[-1] for d in done)), []
+    for d in sorted(done):
+        budget -= d[-1]
+        if budget < 0:
+            break
+        out.append(d[3])
+    return out
+
+
+def test_mixing_matches_brute_force(spark):
+    """With equal finish times, documents of no words, and a source of tiny weight, whose finish times are far above all others."""
+    rows = [(i, "w " * (i * 7 % 5), "en", f"src{i % 4}", 20) for i in range(800)]
+    for weights in ({"src0": 2.0, "src1": 2.0, "src2": 1.0, "src3": 1.0}, {"src0": 1.0, "src1": 1.0, "src2": 1.0, "src3": 1e-9}):
+        for share in (0.0, 0.4, 0.9, 1.0):
+            found = mixing.schedule(spark.createDataFrame(rows, SCHEMA), weights, share=share).orderBy("finish", "source", "key", "doc_id")
+            assert [r["doc_id"] for r in found.collect()] == brute_schedule(rows, weights, share)
+
+
 def test_mixing_shares(spark):
     rows = [(i, "w " * 10, "en", f"src{i % 4}", 20) for i in range(4000)]
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -265,6 +333,56 @@ def test_toxicity_held_out(spark):
     assert area > 0.9 and found > 0.85 and false < 0.03
 
 
+def test_logistic_is_at_its_minimum():
+    """The gradient of the ridge loss is 0 there, and any small step away is worse."""
+    rnd = np.random.default_rng(2)
+    x, weight = rnd.normal(size=(200, 3)), rnd.uniform(0.2, 1, 200)
+    y = (x[:, 0] + rnd.normal(size=200) > 0).astype(float)
+
+    def loss(w):
+        z = np.column_stack([x, np.ones(200)]) @ w
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (w[:-1] ** 2).sum() + 0.5e-6 * w[-1] ** 2
+
+    w = features.fit_logistic(x, y, weight)
+    assert all(loss(w) <= loss(w + d * e) for e in np.eye(4) for d in (-1e-3, 1e-3))
+
+
+def test_exchanged_rows_match_brute_force(spark):
+    """The surest rows of either class by steps of confidence, then key; with more ties in the last step than are wanted."""
+    rnd = np.random.default_rng(7)
+    logit = np.round(np.concatenate([rnd.normal(0, 5, 3000), np.full(400, 30.0), np.full(400, -30.0), [0.0, 2.0, -2.0]]), 3)
+    rows = pd.DataFrame({"key": rnd.integers(-(2**63), 2**63 - 1, len(logit)), "doc_id": np.arange(len(logit)), "logit": logit})
+    for n in (5, 150, 700, 100_000):
+        found = cotraining.surest(spark.createDataFrame(rows), n)
+        sure = rows[np.abs(logit) >= cotraining.LEAST_LOGIT].assign(step=lambda r: np.floor(r["logit"].abs() / cotraining.STEP))
+        for y, side in ((1.0, sure[sure["logit"] > 0]), (0.0, sure[sure["logit"] < 0])):
+            wanted = side.sort_values(["step", "key"], ascending=[False, True]).head(n)["doc_id"].tolist()
+            assert found[found["y"] == y]["doc_id"].tolist() == wanted
+    assert len(cotraining.surest(spark.createDataFrame(rows).limit(0), 5)) == 0
+
+
+def test_tree_splits_match_exhaustive_search():
+    rnd = np.random.default_rng(5)
+    x, g, h = rnd.integers(0, 6, (80, 3)), rnd.normal(size=80), rnd.uniform(0.05, 0.25, 80)
+    trees = toxicity.Trees(edges=[np.arange(5.0)] * 3)
+    value = lambda m: g[m].sum() ** 2 / (h[m].sum() + toxicity.RIDGE)
+    gains = {(f, b): value(x[:, f] <= b) + value(x[:, f] > b) - value(np.full(80, True)) for f in range(3) for b in range(5)}
+    found = trees._best(x, g, h)
+    assert math.isclose(gains[found], max(gains.values()))
+
+
+def test_trees_lower_the_loss_with_every_tree():
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(400, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    trees = toxicity.Trees().fit(x, y)
+    losses = []
+    for n in (0, 5, 20, 80):
+        z = toxicity.Trees(trees.edges, trees.splits[:n], trees.leaves[:n], trees.base).margins(x)
+        losses.append(float((np.logaddexp(0, z) - y * z).mean()))
+    assert losses == sorted(losses, reverse=True) and losses[-1] < 0.2
+
+
 def test_isotonic():
     xs, ps = features.isotonic(np.array([1.0, 2, 3, 4, 5, 6]), np.array([0.0, 1, 0, 1, 0, 1]))
     assert (np.diff(ps) >= 0).all() and (np.diff(xs) >= 0).all()
