@@ -1,7 +1,8 @@
 """Quality rules with risk-controlled thresholds.
 
 Rules compare signals of a text with cutoffs. The cutoffs of all rules tighten together over the levels 1, 2, ... of a grid that
-is fixed beforehand, so each document has one level: the first that rejects it. In each stratum (language) the labelled good
+is fixed beforehand, so each document has one level: the first that rejects it. Variety is the ratio of the logarithms of different
+and of all words, which a text's length hardly moves. In each stratum (language) the labelled good
 documents are a holdout for the sequence of hypotheses "level i rejects more than ``alpha`` of the good documents". A level passes
 if the exact binomial tail P(Bin(n, alpha) <= rejected) is at most delta / strata, which is the same as an upper Clopper-Pearson
 bound of at most alpha. Levels are tested from lenient to strict until the first that fails (fixed-sequence testing, which needs
@@ -28,7 +29,7 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GRID: dict[str, tuple[bool, tuple[float, ...]]] = {
     "symbols": (True, (0.30, 0.25, 0.20, 0.16, 0.13, 0.10, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)),
     "capitals": (True, (0.70, 0.60, 0.50, 0.40, 0.30, 0.25, 0.20, 0.16, 0.13, 0.10, 0.08, 0.06)),
-    "variety": (False, (0.02, 0.04, 0.06, 0.08, 0.11, 0.14, 0.17, 0.20, 0.23, 0.26, 0.30, 0.34)),
+    "variety": (False, (0.30, 0.41, 0.48, 0.53, 0.59, 0.63, 0.67, 0.70, 0.73, 0.75, 0.78, 0.80)),
     "word_length": (True, (60.0, 50.0, 40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 15.0, 14.0, 13.0, 12.0)),
 }
 LEVELS = len(GRID["symbols"][1])
@@ -58,7 +59,7 @@ def leveled(docs: DataFrame, level: str = "level") -> DataFrame:
     (bag,) = fresh([*docs.columns, level], "signals")
     bound = docs.select("*", F.explode(F.array(F.struct(*[value.alias(name) for name, value in signals(F.col("text")).items()]))).alias(bag))
     s, w = F.col(bag), F.col(f"{bag}.words")
-    signal = {"symbols": s["symbols"], "capitals": s["capitals"], "variety": w["kinds"] / F.least(w["n"], F.lit(200)), "word_length": s["size"] / w["n"]}
+    signal = {"symbols": s["symbols"], "capitals": s["capitals"], "variety": F.log1p(w["kinds"]) / F.log1p(w["n"]), "word_length": s["size"] / w["n"]}
     each = []
     for name, (high, cutoffs) in GRID.items():
         value = signal[name]
@@ -92,7 +93,7 @@ def _levels(docs: DataFrame) -> DataFrame:
 def thresholds(levels: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(lang, chosen) for each stratum with labelled good documents. levels: (doc_id, lang, level)."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    counts = levels.join(good, "doc_id").groupBy("lang", "level").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(levels.join(good, "doc_id").groupBy("lang", "level").agg(F.count(F.lit(1)).alias("n")), "counts")
     strata = counts.select(F.coalesce("lang", F.lit("")).alias("l")).distinct().agg(F.count(F.lit(1)).alias("strata"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -118,11 +119,17 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
 
 
 def accepted(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns. Texts are not moved: strata are few and their bars are joined to them."""
-    chosen = cut(thresholds(_levels(docs), labels.select("doc_id", "quality"), alpha, delta), "bars")
+    """The rows of docs that the rules keep, with docs' columns.
+
+    Signals are computed once: rows are written with their levels, of which the thresholds read three narrow columns. Texts are not
+    shuffled: strata are few and their bars are joined to them.
+    """
     level, stratum, bar = fresh(docs.columns, "level", "stratum", "bar")
+    rows = cut(leveled(docs, level), "leveled")
+    levels = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col(level).alias("level"))
+    chosen = cut(thresholds(levels, labels.select("doc_id", "quality"), alpha, delta), "bars")
     chosen = chosen.select(F.col("lang").alias(stratum), F.col("chosen").alias(bar))
-    met = leveled(docs, level).join(chosen, F.col("lang").cast("string").eqNullSafe(F.col(stratum)), "left")
+    met = rows.join(chosen, F.col("lang").cast("string").eqNullSafe(F.col(stratum)), "left")
     return met.where(F.col(level) > F.coalesce(bar, F.lit(0))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -134,7 +141,7 @@ def _sql() -> str:
     value = {
         "symbols": f"(length(t) - length(translate(t, '{SYMBOLS}', ''))) / greatest(length(t), 1)",
         "capitals": f"(length(t) - length(translate(t, '{CAPITALS}', ''))) / greatest(length(t), 1)",
-        "variety": "len(list_distinct(ws)) / least(len(ws), 200)",
+        "variety": "ln(1 + len(list_distinct(ws))) / ln(1 + len(ws))",
         "word_length": "length(t) / len(ws)",
     }
     each = []
