@@ -294,15 +294,14 @@ class Lookup:
         """The dictionary of a folder; the one before it is let go."""
         if cls.folder != folder:
             cls.current = None
-            packed = read_packed(folder, list(_PACKED))
-            cls.current, cls.folder = cls(**{k: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in packed.pop(k))]) for k, kind in _PACKED.items()}), folder
+            parts = [{k: np.frombuffer(x, _PACKED[k]) for k, x in row.items()} for row in read_packed(folder, list(_PACKED))]
+            cls.current, cls.folder = cls(**{k: np.concatenate([np.zeros(0, kind), *(p.pop(k) for p in parts)]) for k, kind in _PACKED.items()}), folder
         return cls.current
 
     def __init__(self, key: np.ndarray, check: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.key, self.sizes, self.ids = np.concatenate([key, [np.uint64(0)]]), np.concatenate([sizes, [0]]).astype(np.int32), ids
-        self.check = np.concatenate([check, [np.uint32(0)]])
-        self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-        self.bits = np.uint64(64 - max(4, int(len(key) * 3).bit_length()))
+        self.key, self.check, self.sizes, self.ids = np.append(key, np.uint64(0)), np.append(check, np.uint32(0)), np.append(sizes, np.uint8(0)), ids
+        self.begins = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+        self.bits = np.uint64(64 - max(4, int(len(key) * 2).bit_length()))
         self.table = np.full(1 << (64 - int(self.bits)), len(key), dtype=np.int32)
         left, slot = np.arange(len(key), dtype=np.int32), self._slot(key)
         while len(left):
@@ -332,20 +331,19 @@ def _spread(lengths: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], folder: str, path_ranks, added: list[str]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    """Adds three columns to each batch, whose last column is the text: ids of runs of known words, which word follows each run, and those words."""
+def _assemble(batches: Iterator[pa.RecordBatch], folder: str, path_ranks, text: int, kept: int, added: list[str]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """The first ``kept`` columns of each batch and three more: ids of runs of known words, which word follows each run, and those words."""
     words_ = Lookup.of(folder)
     flat, none = words_.ids, len(words_.key) - 1
     for batch in batches:
-        texts = batch.column(batch.num_columns - 1)
-        row = 0
+        texts, batch, row = batch.column(text), batch.select(range(kept)), 0
         for part in _slices(texts):
             data, doc, start, end = split(part)
             small = end - start <= LONG
             key = _hashes(data, start, end)
             place = np.where(small, words_.find(key, _checks(data, start, end)), none)
             known = place < none
-            begins, sizes = words_.begins[place], words_.sizes[place]
+            begins, sizes = words_.begins[place].astype(np.int64), words_.sizes[place].astype(np.int64)
             pool = flat
             far = np.flatnonzero(~small)
             if len(far):
@@ -399,9 +397,11 @@ def encode(docs: DataFrame, path: str = VOCABULARY, size: int = DICTIONARY) -> D
     known, folder = _shared_ranks(docs.sparkSession.sparkContext, path), dictionary(docs, path, size)
     rest = [c for c in docs.columns if c != "token_ids"]
     whole, parts, which, words_ = fresh(rest, "whole", "parts", "which", "words")
-    given = docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias(whole))
+    plain = dict(docs.dtypes)["text"] == "string"
+    given = docs.select(*[F.col(f"`{c}`") for c in rest], *([] if plain else [F.col("text").cast("string").alias(whole)]))
+    text, kept = rest.index("text") if plain else len(rest), docs.select(*[F.col(f"`{c}`") for c in rest]).schema.fields
     added = [StructField(parts, ArrayType(ArrayType(IntegerType()))), StructField(which, ArrayType(IntegerType())), StructField(words_, ArrayType(StringType()))]
-    found = given.mapInArrow(lambda b: _assemble(b, folder, known, [parts, which, words_]), StructType([*given.schema.fields, *added]))
+    found = given.mapInArrow(lambda b: _assemble(b, folder, known, text, len(rest), [parts, which, words_]), StructType([*kept, *added]))
 
     def joined(rank_map: Column) -> Column:
         folded = F.transform(words_, lambda w: fold(w, rank_map))

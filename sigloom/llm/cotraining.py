@@ -5,7 +5,9 @@ Both start from labelled documents. In each round either classifier scores all d
 sure of, some of each class, become training rows of the other. Finally each view's score is calibrated on labelled documents that
 were kept out of training, and a regression on both calibrated scores, fitted on the same, combines them for all documents.
 
-Texts are read once, into a table of features; rounds and scoring are arithmetic on its columns.
+The views have nothing in common: the text's features leave out its length, which is metadata. Texts are read once, into a table of
+features; rounds and scoring are arithmetic on its columns. Only chosen rows come to the driver: a histogram of confidence, and one of
+the hash keys of the last step of it, tell which they are.
 """
 
 from __future__ import annotations
@@ -22,12 +24,17 @@ from sigloom.session import cut, table
 
 #: Labelled documents used at most (those of least hash); rounds; pseudo-labels of each class that a view gives to the other in a round.
 LABELLED, ROUNDS, GIVEN = 20_000, 3, 500
+#: Steps of confidence (log-odds) in which pseudo-labels are chosen; within a step the least hash keys come first.
+STEP, KEY_BITS = 0.01, 10
 #: Pseudo-labels need this much confidence, and weigh less than labels.
 CONFIDENT, WEIGHT = 0.95, 0.3
 HASHED, LANGUAGES = 32, 16
 THRESHOLD = 0.5
 
+LEAST_LOGIT = float(np.log(CONFIDENT / (1 - CONFIDENT)))
 _N = len(TEXT_FEATURES)
+#: Features of the text view: all but the length.
+_OWN = [i for i, name in enumerate(TEXT_FEATURES) if name != "log_words"]
 _ROW = ["key", "source_bucket", "lang_bucket", "n_chars", *(f"f{i}" for i in range(_N))]
 
 
@@ -48,7 +55,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
 
 def text_view(rows: pd.DataFrame) -> np.ndarray:
     """Features and their squares."""
-    x = rows[[f"f{i}" for i in range(_N)]].to_numpy(dtype=float)
+    x = rows[[f"f{i}" for i in _OWN]].to_numpy(dtype=float)
     return np.concatenate([x, x * x], axis=1)
 
 
@@ -60,7 +67,8 @@ def meta_view(rows: pd.DataFrame) -> np.ndarray:
 
 
 def text_column(w: np.ndarray) -> Column:
-    return reduce(Column.__add__, [F.col(f"f{i}").cast("double") * (F.col(f"f{i}") * float(w[_N + i]) + float(w[i])) for i in range(_N)])
+    n = len(_OWN)
+    return reduce(Column.__add__, [F.col(f"f{i}").cast("double") * (F.col(f"f{i}") * float(w[n + k]) + float(w[k])) for k, i in enumerate(_OWN)])
 
 
 def meta_column(w: np.ndarray) -> Column:
@@ -98,35 +106,62 @@ def _training(rows: pd.DataFrame, extra: pd.DataFrame) -> tuple[pd.DataFrame, np
     return pd.concat([rows, extra], ignore_index=True), np.concatenate([np.ones(len(rows)), np.full(len(extra), WEIGHT)])
 
 
+def surest(rows: DataFrame, n: int) -> pd.DataFrame:
+    """Of rows (key, doc_id, logit, ...) without labels, the n that are surest of either class, with ``y``.
+
+    Order: steps of confidence, then key and doc_id. Exact, and no more than the chosen rows, with those that share the last bucket of
+    keys, come to the driver.
+    """
+    rows = rows.where(F.abs("logit") >= LEAST_LOGIT).withColumn("step", F.floor(F.abs("logit") / STEP)).withColumn("y", (F.col("logit") > 0).cast("double"))
+    rows = rows.withColumn("slot", F.shiftright("key", 64 - KEY_BITS))
+
+    def last(counts: pd.DataFrame, by: str, wanted: int, ascending: bool) -> tuple[int, int]:
+        """The value up to which ``wanted`` rows are reached, and how many are before it."""
+        counts = counts.sort_values(by, ascending=ascending)
+        upto = counts["n"].cumsum()
+        i = min(int((upto < wanted).sum()), len(counts) - 1)
+        return int(counts[by].iloc[i]), int(upto.iloc[i] - counts["n"].iloc[i])
+
+    steps = rows.groupBy("y", "step").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    if not len(steps):
+        return rows.limit(0).toPandas()
+    edge = {y: last(own, "step", n, False) for y, own in steps.groupby("y")}
+    at_edge = reduce(Column.__or__, [(F.col("y") == y) & (F.col("step") == step) for y, (step, _) in edge.items()])
+    slots = rows.where(at_edge).groupBy("y", "slot").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    taken = []
+    for y, own in slots.groupby("y"):
+        step, before = edge[y]
+        slot, _ = last(own, "slot", n - before, True)
+        taken.append((F.col("y") == y) & ((F.col("step") > step) | ((F.col("step") == step) & (F.col("slot") <= slot))))
+    found = rows.where(reduce(Column.__or__, taken)).toPandas()
+    return found.sort_values(["y", "step", "key", "doc_id"], ascending=[True, False, True, True]).groupby("y").head(n).reset_index(drop=True)
+
+
 def scored(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, given: int = GIVEN) -> DataFrame:
     """(doc_id, text_score, meta_score, score, keep) for each row of docs: probabilities of good quality of either view, and of both.
 
-    Null columns count as values of their own, null texts as empty ones; repeated rows get equal scores. Of a document with several
+    Null columns count as values of their own, null texts as empty ones; repeated rows get equal scores; rows with a null id are scored
+    and may be given pseudo-labels, but have no label. Of a document with several
     labels the least counts. Labels of one class only, or none, give the scores of that class's share (1 without labels), and so an
     empty label table keeps everything. An empty table gives an empty result.
     """
-    everything = cut(feature_table(docs), "features")
     truth = labels.groupBy("doc_id").agg(F.min("quality").cast("double").alias("y")).where("y is not null")
-    known = everything.join(truth, "doc_id").orderBy("key", "doc_id").limit(labelled).toPandas()
+    everything = cut(cut(feature_table(docs), "features").join(truth, "doc_id", "left"), "labelled")
+    known = cut(everything.where("y is not null").orderBy("key", "doc_id").limit(labelled), "known").toPandas().sort_values(["key", "doc_id"])
     hold = (known["key"].to_numpy() % 10 < 3) if len(known) else np.zeros(0, dtype=bool)
     train, held = known[~hold], known[hold]
     if train["y"].nunique() < 2 or held["y"].nunique() < 2:
         rate = float(known["y"].mean()) if len(known) else 1.0
         flat = F.lit(rate)
         return everything.select("doc_id", flat.alias("text_score"), flat.alias("meta_score"), flat.alias("score"), (flat >= THRESHOLD).alias("keep"))
-    pool = everything.join(truth.select("doc_id"), "doc_id", "left_anti")
+    pool = everything.where("y is null")
     extra = {"text": train.iloc[:0], "meta": train.iloc[:0]}
     for step in range(rounds + 1):
         models = {k: View(k, *_training(train, extra[k])) for k in VIEWS}
         if step == rounds:
             break
         for giver, taker in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(models[giver].column())
-            rows = pool.select("doc_id", *_ROW, p.alias("p"))
-            best = []
-            for y, order, sure in ((1.0, F.desc("p"), F.col("p") >= CONFIDENT), (0.0, F.asc("p"), F.col("p") <= 1 - CONFIDENT)):
-                best.append(rows.where(sure).orderBy(order, "key", "doc_id").limit(given * (step + 1)).toPandas().assign(y=y))
-            extra[taker] = pd.concat(best, ignore_index=True)
+            extra[taker] = surest(pool.select("doc_id", *_ROW, models[giver].column().alias("logit")), given * (step + 1))
     # Platt's scaling of each view, then a regression on both
     y = held["y"].to_numpy()
     platt = {k: fit_logistic(m.logits(held)[:, None] / 10, y, ridge=0.01) for k, m in models.items()}
