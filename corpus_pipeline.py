@@ -22,10 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat earlier ones; a document of which nothing is left goes. n_chars follows the text."""
+    """Documents without the runs of words that repeat earlier ones; a document of which nothing is left goes. n_chars follows the text."""
     found = line_dedup.drop_repeats(docs)
-    found = found.where((F.col("lines_removed") == 0) | (F.trim("text") != ""))
-    size = F.when(F.col("lines_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    found = found.where((F.col("words_removed") == 0) | (F.trim("text") != ""))
+    size = F.when(F.col("words_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", size).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
