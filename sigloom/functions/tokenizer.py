@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -73,13 +74,38 @@ def scan(
     return out
 
 
+_OUTSIDE = {mask: bytes(b for b in range(256) if not re.match(f"{pattern}$".encode(), bytes([b]))) for mask, pattern in MASKS.items()}
+
+
+def whole(text: str, mask: str = "alnum", markup: bool = False, stemmer: str = "none", stopwords: frozenset[str] = frozenset()) -> tuple[dict[str, int], int, int]:
+    """Of a document that is one segment: counts of terms in order of first occurrence, and where the first token begins and the last ends; as of scan()."""
+    raw = text.encode()
+    clean = (_MARKUP.sub(lambda m: b" " * len(m[0]), raw) if markup else raw).lower()
+    pattern = re.compile(MASKS[mask].encode())
+    runs, stem = Counter(pattern.findall(clean)), _STEMS[stemmer]
+    out: dict[str, int] = {}
+    lost = set()
+    for run, n in runs.items():
+        term = stem(run.decode()) if len(run) <= LONGEST_TERM else None
+        if term is None or term in stopwords:
+            lost.add(run)
+        else:
+            out[term] = out.get(term, 0) + n
+    if not out:
+        return out, 0, 0
+    if not lost:
+        return out, pattern.search(clean).start(), len(clean.rstrip(_OUTSIDE[mask]))
+    kept = [m for m in pattern.finditer(clean) if m[0] not in lost]
+    return out, kept[0].start(), kept[-1].end()
+
+
 def segment_rows(
-    docs: DataFrame, mask: str = "alnum", markup: bool = False, stemmer: str = "none", stopwords: list[str] | None = None, splitting: Splitting = Splitting()
+    docs: DataFrame, mask: str = "alnum", markup: bool = False, stemmer: str = "none", stopwords: list[str] | None = None, splitting: Splitting = Splitting(), places: bool = True
 ) -> DataFrame:
     """A row for each segment of documents (doc_id, text), made where the document stands: nothing is shuffled.
 
     (doc_id, seg, terms, counts, begins, ends, unique_terms, total_terms, doc_char_length, offset_begin, offset_end). Documents without
-    terms, null texts among them, have no row.
+    terms, null texts among them, have no row. Without places, begins and ends are null, and unsplit documents are counted faster.
     """
     words = frozenset(stopwords or [])
     names = ["doc_id", "seg", "terms", "counts", "begins", "ends", "unique_terms", "total_terms", "doc_char_length", "offset_begin", "offset_end"]
@@ -88,6 +114,11 @@ def segment_rows(
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                if splitting.kind == "none" and not places:
+                    counts, begin, end = whole(text or "", mask, markup, stemmer, words)
+                    if counts:
+                        rows.append((doc, 0, list(counts), list(counts.values()), None, None, len(counts), sum(counts.values()), len(text.encode()), begin, end))
+                    continue
                 for seg, found in enumerate(scan(text or "", mask, markup, stemmer, words, splitting)):
                     terms, counts, begins, ends = (list(x) for x in zip(*found, strict=True))
                     rows.append((doc, seg, terms, counts, begins, ends, len(terms), sum(counts), len(text.encode()), min(begins), max(ends)))

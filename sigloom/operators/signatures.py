@@ -58,7 +58,7 @@ def build(
     term and come back by segment; the vectors themselves are made in the workers, not moved. multiplier: terms like ``word:3.5`` are
     weighted by their number. Ids that are strings are clipped to longest_name. Documents without terms have no row.
     """
-    rows = segment_rows(docs, splitting=splitting, **options)
+    rows = segment_rows(docs, splitting=splitting, places=False, **options)
     meta = ["doc_id", "seg", "unique_terms", "total_terms", "doc_char_length", "offset_begin", "offset_end"]
     factor = lambda t: F.coalesce(F.get(F.split(t, ":", 2), F.lit(1)).try_cast("double"), F.lit(1.0)) if multiplier else F.lit(1.0)
     name = lambda t: F.split(t, ":", 2)[0] if multiplier else t
