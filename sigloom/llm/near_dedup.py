@@ -7,8 +7,11 @@ Jaccard similarity as if the coordinates were independent. Bands of ``rows`` coo
 similarities decide, and connected components are the groups.
 
 The number of comparisons follows the input: documents of equal words are one node; in a bucket all are compared with its first
-document, and only those that differ from it with the rest. Pairs left out join documents that are linked already, so the
-components are those of all pairs of the buckets.
+document, those that differ from it with the first of them, and so on for ``LEADERS`` rounds. A document that differed from its bucket's
+first may still be like any other there; such pairs, if nothing links them yet, are found by prefixes: of a set of n shingles, the rarest
+first, one of the n - ceil(similarity * n) + 1 at the beginning is also at the beginning of every set that is similar enough. So pages of
+one template, which share what is common and differ in what is rare, are not compared with each other. Pairs left out join documents
+that are linked already, so the components are those of all pairs of the buckets.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from sigloom.llm.words import Batch, mix, slices, stretches
 from sigloom.session import cut, table
 
 SHINGLE, COORDINATES, ROWS, SIMILARITY = 3, 128, 4, 0.6
-#: Ids of candidates are broadcast up to this number; beyond it, texts and ids meet in a shuffle.
-BROADCAST_IDS = 2_000_000
+LEADERS = 2
+#: Ids of candidates are broadcast up to this number, which is checked (16 MB); beyond it, texts and ids meet in a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -112,19 +116,67 @@ def jaccards(left: pd.Series, right: pd.Series, shingle: int = SHINGLE) -> pd.Se
     return pd.Series(out)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """pairs (a, b: struct<doc_id, rid>) with ``same``, whether their texts are similar enough. Only texts of pairs are moved."""
-    ids = cut(pairs.select(F.col("a.rid").alias("rid")).union(pairs.select("b.rid")).distinct(), "ids")
+def _same(node: str, doc_id: str, rid: str) -> Column:
+    return F.col(f"{node}.doc_id").eqNullSafe(F.col(doc_id)) & (F.col(f"{node}.rid") == F.col(rid))
+
+
+def _equal(a: str, b: str) -> Column:
+    """Null-safe equality that is no join key: rows stay partitioned by the other key alone."""
+    return F.size(F.array_distinct(F.array(F.col(a), F.col(b)))) == 1
+
+
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, text) of the nodes (node), once each; of documents only those are moved."""
+    ids = cut(nodes.select(F.col("node.doc_id").alias("i"), F.col("node.rid").alias("r")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(row_key().alias("rid"), F.col("text").cast("string").alias("text"))
-    # rows that are repeated would repeat their pairs; the aggregate takes them together and is the join's own partitioning
-    texts = texts.join(F.broadcast(ids) if few else ids, "rid", "left_semi").groupBy("rid").agg(F.first("text").alias("text"))
-    ta, tb = (texts.select(F.col("rid").alias(f"r{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
-    met = pairs.join(tb, pairs["b"]["rid"] == tb["rb"]).join(ta, F.col("a.rid") == F.col("ra"))
+    texts = docs.select("doc_id", row_key().alias("rid"), F.col("text").cast("string").alias("text"))
+    met = texts.join(F.broadcast(ids) if few else ids, (F.col("rid") == F.col("r")) & _equal("doc_id", "i"), "left_semi")
+    return met.groupBy("doc_id", "rid").agg(F.first("text").alias("text"))  # rows that are repeated are one
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """pairs (a, b: struct<doc_id, rid>) with ``same``, whether their texts are similar enough."""
+    ta, tb = (texts.select(F.col("doc_id").alias(f"i{x}"), F.col("rid").alias(f"r{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
+    met = pairs.join(tb, _same("b", "ib", "rb")).join(ta, _same("a", "ia", "ra"))
     score = F.pandas_udf(lambda x, y: jaccards(x, y, shingle), "double")
     return met.select("a", "b", score("ta", "tb").alias("jaccard")).withColumn("same", F.col("jaccard") >= similarity)
 
 
+def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """texts with ``elements``, their different shingles, instead of text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            data, parts = [(x or "").lower().encode() for x in pdf["text"]], []
+            for a, b in slices(data):
+                doc, element = Batch(data[a:b]).shingles(shingle)
+                order = np.argsort(doc, kind="stable")
+                parts += [np.unique(x).view(np.int64) for x in np.split(element[order], np.searchsorted(doc[order], np.arange(1, b - a)))]
+            yield pdf[["doc_id", "rid"]].assign(elements=parts)
+
+    return texts.mapInPandas(run, f"doc_id {dict(texts.dtypes)['doc_id']}, rid long, elements array<long>")
+
+
+def by_prefixes(nodes: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of unlinked nodes that can be similar, at least one of them with ``x``. nodes: (node, x); roots: (node, root) of those that are linked."""
+    linked = roots.select(F.col("node.doc_id").alias("ri"), F.col("node.rid").alias("rr"), F.xxhash64("root").alias("linked"))
+    sets = shingle_sets(texts, shingle).select(F.struct("doc_id", "rid").alias("node"), "elements")
+    wanted = nodes.select(F.col("node.doc_id").alias("wi"), F.col("node.rid").alias("wr"), "x")
+    sets = sets.join(wanted, _same("node", "wi", "wr")).join(linked, _same("node", "ri", "rr"), "left")
+    sets = cut(sets.select("node", "x", "elements", F.coalesce("linked", F.xxhash64("node")).alias("root")), "sets")
+    each = sets.select("node", "x", "root", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    often = each.groupBy("e").agg(F.count(F.lit(1)).alias("f"), F.min("root").alias("least"), F.max("root").alias("most")).where("f > 1")
+    often = often.select("e", "f", (F.col("least") != F.col("most")).alias("mixed"))  # what only one component has links nothing new
+    lists = each.join(often, "e").groupBy("node", "x", "root", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e", "mixed"))).alias("s"))
+    rare = F.col("n") - F.size("s")  # elements that no other set has come first
+    taken = F.greatest(F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1 - rare, F.lit(0))
+    prefixes = cut(lists.select("node", "x", "root", "n", F.explode(F.slice("s", 1, taken)).alias("s")).where("s.mixed").select("node", "x", "root", "n", "s.e"), "prefixes")
+    p, q = prefixes.where("x").alias("p"), prefixes.alias("q")
+    close = (F.col("p.n") >= F.col("q.n") * similarity - 1e-9) & (F.col("q.n") >= F.col("p.n") * similarity - 1e-9)
+    met = p.join(q, (F.col("p.e") == F.col("q.e")) & (F.col("p.root") != F.col("q.root")) & close)
+    return met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the least node of its component.
 
@@ -163,15 +215,22 @@ def near_duplicates(
     buckets = heads.select("head", F.explode("bands").alias("band"))
     first = F.min("head").over(Window.partitionBy("band"))
     stars = cut(buckets.select("band", first.alias("a"), F.col("head").alias("b")).where("a != b"), "stars")
-    near = cut(verified(stars.select("a", "b").distinct(), docs, shingle, similarity), "near")
-    # those that differ from their bucket's first meet all others there
-    apart = stars.join(near.where("not same").select("a", "b"), ["a", "b"], "left_semi")
-    rest = apart.select("band", F.col("b").alias("x")).join(stars.select("band", F.col("b").alias("y")), "band").where("x != y")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = cut(rest.join(near.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    edges = near.where("same").select("a", "b")
-    if rest.take(1):
-        edges = edges.union(verified(rest, docs, shingle, similarity).where("same").select("a", "b"))
+    texts = cut(texts_of(stars.select(F.explode(F.array("a", "b")).alias("node")), docs), "texts")
+    left, edges = stars, None
+    for turn in range(LEADERS):
+        near = cut(verified(left.select("a", "b").distinct(), texts, shingle, similarity), "near")
+        found = near.where("same").select("a", "b")
+        edges = found if edges is None else edges.union(found)
+        apart = cut(left.join(near.where("not same").select("a", "b"), ["a", "b"], "left_semi").select("band", F.col("b").alias("x")), "apart")
+        left = apart.select("band", F.min("x").over(Window.partitionBy("band")).alias("a"), F.col("x").alias("b")).where("a != b")
+        if turn == 0:
+            contested = apart
+    if contested.take(1):
+        # whoever differed from a first, and those it may be like: all others of its buckets
+        others = stars.join(contested.select("band").distinct(), "band", "left_semi").select(F.col("b").alias("node"), F.lit(False).alias("x"))
+        nodes = contested.select(F.col("x").alias("node"), F.lit(True).alias("x")).union(others).groupBy("node").agg(F.max("x").alias("x"))
+        rest = cut(by_prefixes(nodes, texts, components(edges), shingle, similarity), "rest")
+        edges = edges.union(verified(rest, texts, shingle, similarity).where("same").select("a", "b"))
     roots = components(edges).withColumnRenamed("node", "head")
     heads = heads.select("h1", "h2", "head").join(roots, "head", "left").select("h1", "h2", F.coalesce("root", "head").alias("keep"))
     found = marks.select("h1", "h2", node.alias("node")).join(heads, ["h1", "h2"]).where("node != keep").select("node", "keep").distinct()
@@ -180,11 +239,13 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the rows that near_duplicates() names, and with one of each set of rows of equal id and text."""
-    rid, gone, nth = fresh(docs.columns, "rid", "gone", "nth")
-    found = near_duplicates(docs, similarity).select(F.col("rid").alias(rid)).withColumn(gone, F.lit(True))
-    kept = docs.withColumn(rid, row_key()).join(found, rid, "left").where(F.col(gone).isNull())
-    place = F.row_number().over(Window.partitionBy(rid).orderBy(rid))
-    return kept.withColumn(nth, place).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rid, own, out, whole = fresh(docs.columns, "rid", "own_id", "out", "row")
+    found = near_duplicates(docs, similarity).select(F.col("doc_id").alias(own), F.col("rid").alias(out))
+    rows = docs.withColumn(rid, row_key())
+    kept = rows.join(found, (F.col(rid) == F.col(out)) & _equal("doc_id", own), "left_anti")
+    # rows that are repeated meet combined: however many there are, a task sends one
+    once = kept.groupBy("doc_id", rid).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(whole))
+    return once.select(*[F.col(f"`{whole}`.`{c}`") for c in docs.columns])
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
