@@ -90,6 +90,59 @@ def test_near_duplicates_recall_on_table(spark):
     assert found <= wanted and len(found) >= 0.9 * len(wanted)
 
 
+def chained_texts(seed=2):
+    """Chains in which only neighbours are similar, copies that differ from a bucket's first, and pages of one template."""
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    template = [word() for _ in range(70)]
+    texts = [" ".join(template + [word() for _ in range(50)]) for _ in range(40)]
+    for _ in range(6):
+        now = template[:40] + [word() for _ in range(60)]
+        for _ in range(6):
+            texts.append(" ".join(now))
+            now = [word() if rnd.random() < 0.09 else w for w in now]
+    rnd.shuffle(texts)
+    return texts
+
+
+def test_near_duplicates_of_chains_match_brute_force(spark):
+    texts = chained_texts()
+    found = {r["doc_id"]: r["duplicate_of"] for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    wanted = brute_groups(texts, near_dedup.SIMILARITY)
+    assert found.items() <= wanted.items() or {k for k in found} <= {k for k in wanted}
+    assert len(found) >= 0.97 * len(wanted)
+
+
+def test_prefixes_lose_no_pair(spark):
+    """All pairs that are similar and not linked yet are among the candidates, and few others."""
+    texts = chained_texts(5)
+    docs = frame(spark, texts)
+    nodes = docs.select(F.struct("doc_id", near_dedup.row_key().alias("rid")).alias("node"), F.lit(True).alias("x"))
+    rows = near_dedup.texts_of(nodes, docs)
+    none = nodes.select("node", F.col("node").alias("root")).limit(0)
+    got = {(r["a"]["doc_id"], r["b"]["doc_id"]) for r in near_dedup.by_prefixes(nodes, rows, none, near_dedup.SHINGLE, near_dedup.SIMILARITY).collect()}
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    similar = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= near_dedup.SIMILARITY}
+    assert similar <= got and len(got) < 0.1 * len(pairs)
+
+
+def test_template_pages_are_not_all_compared(spark, monkeypatch):
+    """Pages that share 58 % (Jaccard 0.4, no duplicates): the pairs that are compared grow with the pages, not with their square."""
+    counts = {}
+    plain = near_dedup.verified
+    for n in (500, 1000, 2000):
+        rnd = random.Random(n)
+        template = [f"t{i}" for i in range(70)]
+        pages = frame(spark, [" ".join(template + [f"w{rnd.randrange(10**7)}" for _ in range(50)]) for _ in range(n)])
+        seen = []
+        monkeypatch.setattr(near_dedup, "verified", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+        assert near_dedup.near_duplicates(pages).count() == 0
+        counts[n] = sum(seen)
+        assert sum(seen[near_dedup.LEADERS :]) == 0
+    assert counts[2000] <= 3 * counts[1000] and counts[1000] <= 3 * counts[500]
+
+
 def test_sketches_fill_and_estimate():
     rnd = np.random.default_rng(3)
     a = rnd.integers(0, 2**63, 300, dtype=np.uint64)
@@ -111,15 +164,19 @@ def test_components(spark):
 
 def brute_line_dedup(texts):
     """texts in the order of their ids."""
-    import hashlib
-
     k, span = line_dedup.MIN_WORDS, line_dedup.SPAN
-    h = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+    code = lambda w: (len(w.encode()) << 16 | min(ord(w[0]), 128) << 8 | min(ord(w[-1]), 128)) & 0xFFFFFF
+
+    def line_hash(words):
+        z = sum(f * code(w) for f, w in zip(line_dedup.FACTORS, words, strict=False)) % 2**32
+        z = (z ^ z >> 15) * 1103515245 % 2**32
+        return z ^ z >> 13
+
     seen, out = set(), []
     for text in texts:
         tokens = line_dedup.tokens_of(text)
         words = [t.strip(" \t\n\r") for t in tokens]
-        order = [((h(words[i]) + 31 * h(words[i + 1])) % 2**32, -i) for i in range(len(words) - k + 1)]
+        order = [(line_hash(words[i : i + 4]), -i) for i in range(len(words) - k + 1)]
         spans = [order[i : i + span] for i in range(max(1, len(order) - span + 1))] if order else []
         gone = set()
         for i in sorted({-min(x)[1] for x in spans}):
@@ -480,7 +537,10 @@ def test_pipeline_matches_its_parts(spark):
     left = spark.createDataFrame(lines, docs.schema)
     near = corpus_pipeline.near(spark, left, SMALL)
     groups = brute_groups([r["text"] for r in lines], near_dedup.SIMILARITY)
-    assert {r["doc_id"] for r in near.collect()} >= {r["doc_id"] for i, r in enumerate(lines) if i not in groups}
+    got = {r["doc_id"] for r in near.collect()}
+    assert got >= {r["doc_id"] for i, r in enumerate(lines) if i not in groups}
+    gone = {r["doc_id"] for r in near_dedup.near_duplicates(left).collect()}
+    assert got == {r["doc_id"] for r in lines} - gone and len(gone) >= 0.9 * len(groups)
     mixed = corpus_pipeline.mix(spark, near, SMALL)
     assert mixed.count() == mixing.schedule(near).count()
     out = corpus_pipeline.run(spark, SMALL).collect()
