@@ -30,8 +30,12 @@ def main(args: list[str]) -> int:
         for row in results.lines(found.orderBy("topic_id", "rank"), fmt).toLocalIterator():
             print(row["value"])
     elif args[0] == "histogram":
-        for row in found.orderBy("hd").toLocalIterator():
+        documents = "doc_id" in found.columns
+        bins = found.where("doc_id IS NULL") if documents else found
+        for row in bins.orderBy("hd").toLocalIterator():
             print(f"{row['fraction']:.32f}")
+        for row in found.where("doc_id IS NOT NULL").orderBy("hd", "doc_id").toLocalIterator() if documents else ():
+            print(f"{row['doc_id']} {row['hd']} {row['fraction']:.32f}")
     return 0
 
 

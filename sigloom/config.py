@@ -8,8 +8,14 @@ from pathlib import Path
 
 TRUE, FALSE = {"true", "1", "yes"}, {"false", "0", "no"}
 #: Old names of keys, and old keys that mean nothing any more.
-RENAMED = {"ISL_SLICEWIDTH": "ISSL-SLICEWIDTH", "ISL-PATH": "ISSL-PATH", "ISL_PATH": "ISSL-PATH", "ISL-MAX-DIST": "ISSL-EXPANSION", "SEARCH-DOC-K": "K"}
-IGNORED = {"SEARCH-THREADING"}
+RENAMED = {
+    "DINESHA-TERMWEIGHTS": "TERMWEIGHT-SUFFIXES", "DUPLICATES_OK": "ALLOW-DUPLICATES", "ISL_SLICEWIDTH": "ISSL-SLICEWIDTH", "ISL-PATH": "ISSL-PATH",
+    "ISL_PATH": "ISSL-PATH", "ISL-MAX-DIST": "ISSL-EXPANSION", "ISL-MAX-DIST-NONEW": "ISSL-CONSIDERATION-RADIUS", "TERMSTATS-PATH-OUTPUT": "TERMSTATS-PATH",
+    **dict.fromkeys(["QUERY-TOP-K", "TOPIC-OUTPUT-K", "SEARCH-DOC-RERANK", "SEARCH-DOC-K"], "K"), **dict.fromkeys(["QUERY-TOP-K-OUTPUT", "SEARCH-DOC-TOPK"], "K-OUTPUT"),
+    "TOPIC-OUTPUT-PATH": "RESULTS-PATH", "OUTPUT-PROGRESS-DOCUMENTS": "TOTAL-DOCUMENTS",
+    **dict.fromkeys(["SEARCH-DOC-JOBS", "SEARCH-JOBS"], "JOBS"), **dict.fromkeys(["SEARCH-DOC-THREADS", "SEARCH-THREADS", "INDEX-THREADS"], "THREADS"),
+}
+IGNORED = {"SEARCH-THREADING", "INDEX-THREADING"}
 
 
 @dataclass(frozen=True)

@@ -58,7 +58,7 @@ def run_index(spark: SparkSession, config: EngineConfig) -> DataFrame:
     docs = collections.read_collection(spark, config)
     table = signatures.build(
         docs, projection(config), stats(spark, config), multiplier=config.boolean("TERMWEIGHT-SUFFIXES"), splitting=splitting(config),
-        longest_name=config.integer("MAX-DOCNAME-LENGTH", 255), **text_options(config),
+        longest_name=config.integer("MAX-DOCNAME-LENGTH", 255), overlap=config.boolean("SPLIT-OVERLAPPING"), **text_options(config),
     )
     path, p = config.required("SIGNATURE-PATH"), projection(config)
     signatures.numbered(table).write.mode("overwrite").parquet(path)
@@ -140,11 +140,13 @@ def _range(config: EngineConfig) -> dict:
 
 
 def run_search_issl(spark: SparkSession, config: EngineConfig) -> DataFrame:
-    """Approximate similarity of documents; K are printed, K-OUTPUT re-ranked."""
+    """Approximate similarity of documents; K are printed, K-OUTPUT re-ranked. With ISSL-PATH its posting lists are searched."""
     table, _ = load(spark, config)
     k = config.integer("K", 10)
     radius = min(config.integer("ISSL-EXPANSION", 3), config.integer("ISSL-CONSIDERATION-RADIUS", 1))
-    found = slices.search(table, k, config.integer("K-OUTPUT", k), config.integer("ISSL-SLICEWIDTH", 16), radius, **_range(config))
+    path = config.get("ISSL-PATH")
+    index = spark.read.parquet(path) if path else None
+    found = slices.search(table, k, config.integer("K-OUTPUT", k), config.integer("ISSL-SLICEWIDTH", 16), radius, **_range(config), index=index)
     return _similar(spark, table, found)
 
 
@@ -154,7 +156,8 @@ def run_exhaustive_docsim(spark: SparkSession, config: EngineConfig) -> DataFram
 
 
 def run_histogram(spark: SparkSession, config: EngineConfig) -> DataFrame:
-    """HISTOGRAM-TYPE doc or query, over all documents or those that judgements or a category name."""
+    """HISTOGRAM-TYPE doc or query, over all documents or those that judgements or a category name: bins (hd, n, fraction), and of a query
+    with judgements also a row for each relevant document, with doc_id and its own bin's distance and fraction; n is null there."""
     table, p = load(spark, config)
     qrels, category = config.get("HISTOGRAM-QRELS"), config.get("HISTOGRAM-CATEGORY")
     relevant = None
@@ -171,7 +174,9 @@ def run_histogram(spark: SparkSession, config: EngineConfig) -> DataFrame:
     if config.get("HISTOGRAM-TYPE", "doc").lower() == "query":
         asked = spark.createDataFrame([("0", source or config.required("QUERY-TEXT"))], "topic_id string, text string")
         query = signatures.query_signatures(asked, p, stats(spark, config), **text_options(config, searching=True))
-        return histogram.of_query(table, query, relevant)[0]
+        bins, documents = histogram.of_query(table, query, relevant)
+        bins = bins.select(F.lit(None).cast("string").alias("doc_id"), "hd", "n", "fraction")
+        return bins if relevant is None else bins.unionByName(documents.withColumn("n", F.lit(None).cast("bigint")))
     first = int(source) if source else None
     if relevant is not None:
         bounds = [config.integer(k) if config.get(k) is not None else None for k in ("HISTOGRAM-TOPIC-START", "HISTOGRAM-TOPIC-END")]

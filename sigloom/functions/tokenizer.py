@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from dataclasses import dataclass
 
 import pandas as pd
@@ -100,15 +101,18 @@ def whole(text: str, mask: str = "alnum", markup: bool = False, stemmer: str = "
 
 
 def segment_rows(
-    docs: DataFrame, mask: str = "alnum", markup: bool = False, stemmer: str = "none", stopwords: list[str] | None = None, splitting: Splitting = Splitting(), places: bool = True
-) -> DataFrame:
+    docs: DataFrame, mask: str = "alnum", markup: bool = False, stemmer: str = "none", stopwords: list[str] | None = None, splitting: Splitting = Splitting(), places: bool = True,
+    overlap: bool = False,
+) -> DataFrame:
     """A row for each segment of documents (doc_id, text), made where the document stands: nothing is shuffled.
 
-    (doc_id, seg, terms, counts, begins, ends, unique_terms, total_terms, doc_char_length, offset_begin, offset_end). Documents without
+    (doc_id, seg, terms, counts, begins, ends, totals, unique_terms, total_terms, doc_char_length, offset_begin, offset_end). With overlap
+    the terms of the segment before come first, as entries of their own; ``totals`` are the tokens that a term is weighed against: of a
+    carried entry the running total up to it, of an own one all of both; unique_terms and total_terms count both. Documents without
     terms, null texts among them, have no row. Without places, begins and ends are null, and unsplit documents are counted faster.
     """
     words = frozenset(stopwords or [])
-    names = ["doc_id", "seg", "terms", "counts", "begins", "ends", "unique_terms", "total_terms", "doc_char_length", "offset_begin", "offset_end"]
+    names = ["doc_id", "seg", "terms", "counts", "begins", "ends", "totals", "unique_terms", "total_terms", "doc_char_length", "offset_begin", "offset_end"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -117,34 +121,30 @@ def segment_rows(
                 if splitting.kind == "none" and not places:
                     counts, begin, end = whole(text or "", mask, markup, stemmer, words)
                     if counts:
-                        rows.append((doc, 0, list(counts), list(counts.values()), None, None, len(counts), sum(counts.values()), len(text.encode()), begin, end))
+                        total = sum(counts.values())
+                        rows.append((doc, 0, list(counts), list(counts.values()), None, None, [total] * len(counts), len(counts), total, len(text.encode()), begin, end))
                     continue
-                for seg, found in enumerate(scan(text or "", mask, markup, stemmer, words, splitting)):
-                    terms, counts, begins, ends = (list(x) for x in zip(*found, strict=True))
-                    rows.append((doc, seg, terms, counts, begins, ends, len(terms), sum(counts), len(text.encode()), min(begins), max(ends)))
+                carried: list[tuple[str, int, int, int]] = []
+                for seg, own in enumerate(scan(text or "", mask, markup, stemmer, words, splitting)):
+                    terms, counts, begins, ends = (list(x) for x in zip(*carried, *own, strict=True))
+                    total = sum(counts)
+                    totals = list(accumulate(counts[: len(carried)])) + [total] * len(own)
+                    rows.append((doc, seg, terms, counts, begins, ends, totals, len(terms), total, len(text.encode()), min(begins), max(ends)))
+                    carried = own if overlap else []
             yield pd.DataFrame(rows, columns=names)
 
     kind = dict(docs.dtypes)["doc_id"]
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    lists = "terms array<string>, counts array<long>, begins array<int>, ends array<int>"
+    lists = "terms array<string>, counts array<long>, begins array<int>, ends array<int>, totals array<long>"
     return given.mapInPandas(run, f"doc_id {kind}, seg int, {lists}, unique_terms int, total_terms long, doc_char_length int, offset_begin int, offset_end int")
 
 
 def segments(
-    docs: DataFrame, mask: str = "alnum", markup: bool = False, stemmer: str = "none", stopwords: list[str] | None = None, splitting: Splitting = Splitting()
-) -> DataFrame:
-    """(doc_id, seg, term, cnt, begin, end) of documents (doc_id, text)."""
-    rows = segment_rows(docs, mask, markup, stemmer, stopwords, splitting)
-    each = rows.select("doc_id", "seg", F.inline(F.arrays_zip("terms", "counts", "begins", "ends")).alias("term", "cnt", "begin", "end"))
-    return each.select("doc_id", "seg", "term", "cnt", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))
-
-
-def overlapped(terms: DataFrame) -> DataFrame:
-    """Segments with the terms of the segment before added as entries of their own (``carried``), and the running total of tokens.
-
-    A segment's total counts its own tokens and the carried ones.
-    """
-    own = terms.withColumn("carried", F.lit(False))
-    last = terms.groupBy("doc_id").agg(F.max("seg").alias("last"))
-    moved = terms.join(last, "doc_id").where("seg < last").withColumn("seg", F.col("seg") + 1).drop("last").withColumn("carried", F.lit(True))
-    return own.unionByName(moved)
+    docs: DataFrame, mask: str = "alnum", markup: bool = False, stemmer: str = "none", stopwords: list[str] | None = None, splitting: Splitting = Splitting(),
+    overlap: bool = False,
+) -> DataFrame:
+    """(doc_id, seg, term, cnt, begin, end) of documents (doc_id, text); with overlap also ``total``, as of segment_rows()."""
+    rows = segment_rows(docs, mask, markup, stemmer, stopwords, splitting, overlap=overlap)
+    each = rows.select("doc_id", "seg", F.inline(F.arrays_zip("terms", "counts", "begins", "ends", "totals")).alias("term", "cnt", "begin", "end", "total"))
+    places = [F.col(c).cast("long").alias(c) for c in ("begin", "end")]
+    return each.select("doc_id", "seg", "term", "cnt", *places, *(["total"] if overlap else []))

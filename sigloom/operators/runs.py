@@ -90,12 +90,14 @@ def cosine_distances(truth: DataFrame, width: int, cosine: str = "csim") -> Data
     return truth.withColumn("hd", ((1.0 - F.col(cosine)) * width).cast("int"))
 
 
-def cosine_pairs(terms: DataFrame) -> DataFrame:
-    """(a, b, cosine) of all pairs a < b of documents that share a term; terms: (doc_id, term, cnt)."""
+def cosine_pairs(terms: DataFrame, every: int | None = None) -> DataFrame:
+    """(a, b, cosine) of all pairs a < b of documents that share a term; terms: (doc_id, term, cnt). With ``every``, a number, documents
+    whose id is divisible by it are queries a against all others, on either side."""
     norms = terms.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).cast("double")).alias("norm"))
     a = terms.select("term", F.col("doc_id").alias("a"), F.col("cnt").alias("ca"))
     b = terms.select("term", F.col("doc_id").alias("b"), F.col("cnt").alias("cb"))
-    dots = a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"))
+    a = a if every is None else a.where(F.col("a") % every == 0)
+    dots = a.join(b, "term").where("a < b" if every is None else "a != b").groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"))
     na, nb = (norms.select(F.col("doc_id").alias(x), F.col("norm").alias(f"n{x}")) for x in "ab")
     return dots.join(na, "a").join(nb, "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
 

@@ -50,15 +50,16 @@ def build(
     multiplier: bool = False,
     splitting: Splitting = Splitting(),
     longest_name: int = 255,
+    overlap: bool = False,
     **options: object,
 ) -> DataFrame:
     """Signatures of documents (doc_id, text); options as of the tokenizer.
 
     Without term statistics (term, df, ctf) each term weighs its count, and nothing is shuffled. With them terms join statistics by
     term and come back by segment; the vectors themselves are made in the workers, not moved. multiplier: terms like ``word:3.5`` are
-    weighted by their number. Ids that are strings are clipped to longest_name. Documents without terms have no row.
+    weighted by their number. overlap: segments also have the terms of the one before. Ids that are strings are clipped to longest_name. Documents without terms have no row.
     """
-    rows = segment_rows(docs, splitting=splitting, places=False, **options)
+    rows = segment_rows(docs, splitting=splitting, places=False, overlap=overlap, **options)
     meta = ["doc_id", "seg", "unique_terms", "total_terms", "doc_char_length", "offset_begin", "offset_end"]
     factor = lambda t: F.coalesce(F.get(F.split(t, ":", 2), F.lit(1)).try_cast("double"), F.lit(1.0)) if multiplier else F.lit(1.0)
     name = lambda t: F.split(t, ":", 2)[0] if multiplier else t
@@ -66,12 +67,12 @@ def build(
         weights = F.zip_with("terms", "counts", lambda t, c: (c * 1000 * factor(t)).cast("bigint"))
         given = rows.select(*meta, F.transform("terms", name).alias("terms"), weights.alias("weights"))
     else:
-        each = rows.select("doc_id", "seg", "total_terms", F.inline(F.arrays_zip("terms", "counts")).alias("raw", "cnt"))
-        each = each.select("doc_id", "seg", "total_terms", "cnt", name(F.col("raw")).alias("term"), factor(F.col("raw")).alias("factor"))
+        each = rows.select("doc_id", "seg", F.inline(F.arrays_zip("terms", "counts", "totals")).alias("raw", "cnt", "total"))
+        each = each.select("doc_id", "seg", "total", "cnt", name(F.col("raw")).alias("term"), factor(F.col("raw")).alias("factor"))
         documents = rows.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("signatures")) if scheme in ("tfidf", "bm25") else None
         met = each.join(stats.select("term", "df", "ctf"), "term", "left").crossJoin(F.broadcast(collection_totals(stats)))
         met = met.withColumn("signatures", F.lit(None).cast("bigint")) if documents is None else met.crossJoin(F.broadcast(documents))
-        base = weight(scheme, F.col("cnt"), F.col("total_terms"), F.col("ctf"), F.col("df"), F.col("tokens"), F.col("signatures"))
+        base = weight(scheme, F.col("cnt"), F.col("total"), F.col("ctf"), F.col("df"), F.col("tokens"), F.col("signatures"))
         met = met.select("doc_id", "seg", F.struct("term", (base * F.col("factor")).cast("bigint").alias("weight")).alias("x"))
         found = met.groupBy("doc_id", "seg").agg(F.sort_array(F.collect_list("x")).alias("x"))
         found = found.select("doc_id", "seg", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))

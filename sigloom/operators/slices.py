@@ -56,27 +56,38 @@ def probes(signatures: DataFrame, slice_width: int = 16, radius: int = 1) -> Dat
     return found.select("doc_num", "slice", F.col("val").bitwiseXOR(F.col("mask")).alias("val"), "score")
 
 
-def votes(signatures: DataFrame, slice_width: int = 16, radius: int = 1, first: int | None = None, last: int | None = None) -> DataFrame:
-    """(query, found, votes) for each pair with any; queries are the signatures numbered first to last. A signature finds itself."""
-    asked = signatures.where(F.col("doc_num") >= first) if first is not None else signatures
+def votes(
+    signatures: DataFrame, slice_width: int = 16, radius: int = 1, first: int | None = None, last: int | None = None, queries: DataFrame | None = None,
+    index: DataFrame | None = None,
+) -> DataFrame:
+    """(query, found, votes) for each pair with any; queries are those given, or the signatures, numbered first to last. A signature finds itself.
+
+    With ``index``, posting lists of build() with the same slice_width, lists are looked up there; else signatures are cut into slices.
+    """
+    asked = signatures if queries is None else queries
+    asked = asked.where(F.col("doc_num") >= first) if first is not None else asked
     asked = asked.where(F.col("doc_num") <= last) if last is not None else asked
     q = probes(asked, slice_width, radius).withColumnRenamed("doc_num", "query")
-    s = slice_rows(signatures, slice_width).select(F.col("doc_num").alias("found"), "slice", "val")
-    return q.join(s, ["slice", "val"]).groupBy("query", "found").agg(F.sum("score").cast("bigint").alias("votes"))
+    if index is None:
+        met = q.join(slice_rows(signatures, slice_width).select(F.col("doc_num").alias("found"), "slice", "val"), ["slice", "val"])
+    else:
+        met = q.join(index.select("slice", "val", "postings"), ["slice", "val"]).select("query", "score", F.explode("postings").alias("found"))
+    return met.groupBy("query", "found").agg(F.sum("score").cast("bigint").alias("votes"))
 
 
 def search(
-    signatures: DataFrame, k: int = 10, rerank_k: int | None = None, slice_width: int = 16, radius: int = 1, first: int | None = None, last: int | None = None
-) -> DataFrame:
+    signatures: DataFrame, k: int = 10, rerank_k: int | None = None, slice_width: int = 16, radius: int = 1, first: int | None = None, last: int | None = None,
+    queries: DataFrame | None = None, index: DataFrame | None = None,
+) -> DataFrame:
     """(doc_num, found_num, dist, rank): of the rerank_k signatures with most votes (k, if more) the k nearest of each query.
 
     Equal votes and equal distances go by number. A query has at most as many rows as signatures got votes.
     """
     rerank_k = max(k, rerank_k or k)
     most = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("votes"), "found"))
-    kept = votes(signatures, slice_width, radius, first, last).withColumn("place", most).where(F.col("place") <= rerank_k)
+    kept = votes(signatures, slice_width, radius, first, last, queries, index).withColumn("place", most).where(F.col("place") <= rerank_k)
     names = word_columns(signatures.columns)
-    a = signatures.select(F.col("doc_num").alias("query"), *[F.col(n).alias(f"a{n}") for n in names])
+    a = (signatures if queries is None else queries).select(F.col("doc_num").alias("query"), *[F.col(n).alias(f"a{n}") for n in names])
     b = signatures.select(F.col("doc_num").alias("found"), *[F.col(n).alias(f"b{n}") for n in names])
     met = kept.join(b, "found").join(a, "query")
     dist = hamming([F.col(f"a{n}") for n in names], [F.col(f"b{n}") for n in names])

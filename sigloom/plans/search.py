@@ -9,18 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.bits import bit_string, hamming, hex_string, layout, word_columns
+from sigloom.functions.tokenizer import Splitting
 from sigloom.operators import feedback, histogram, signatures, slices
 from sigloom.operators import search as S
 from sigloom.operators.terms import doc_terms, term_stats
 from sigloom.operators.vectors import Projection
 from sigloom.plans.text import DOCS, Entry, tf_sql, weights_sql
-from sigloom.session import cut, table
+from sigloom.session import cut, new_path, table
 from sigloom.sources import results as R
 
 MD5 = Projection(width=64, method="MD5")
-SLICE, RADIUS, K, RERANK = 16, 1, 10, 50
-#: Slice, radius and re-ranked signatures of the registered search: those above, which its SQL has, find about one in eight of the nearest.
-FOUND_BY = 8, 2, 200
+SLICE, RADIUS, K = 16, 1, 10
+#: Slice, radius and re-ranked signatures of the registered searches; signatures whose number is divisible by EVERY are their queries.
+FOUND_BY, EVERY = (8, 2, 200), 20
 
 # ---- tables ----
 
@@ -39,9 +40,9 @@ def stats(spark: SparkSession, sf: str) -> DataFrame:
     return cut(term_stats(doc_terms(table(spark, sf, "documents"))), "stats")
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbered signatures of the documents, weighted by log-likelihood."""
-    return cut(signatures.numbered(signatures.build(table(spark, sf, "documents"), MD5, stats(spark, sf))), "signatures")
+def documents(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
+    """Numbered signatures of the documents, weighted by log-likelihood with known statistics."""
+    return cut(signatures.numbered(signatures.build(table(spark, sf, "documents"), MD5, stats(spark, sf) if known is None else known)), "signatures")
 
 
 def _bits_sql(weights: str, key: str, out: str) -> str:
@@ -88,6 +89,12 @@ def _random(method: str) -> Entry:
     return run, None
 
 
+def overlapping_signature(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments that share their terms with the next, weighed by log-likelihood."""
+    found = signatures.build(table(spark, sf, "documents"), MD5, stats(spark, sf), splitting=Splitting("hard", 64, 128), overlap=True)
+    return found.select("doc_id", "seg", "unique_terms", "total_terms", "offset_begin", "offset_end", bit_string([F.col("w0")]).alias("bits"))
+
+
 # ---- search ----
 
 
@@ -108,8 +115,9 @@ near AS (SELECT * FROM ranked WHERE rank <= {k})"""
 
 
 def topic_search(spark: SparkSession, sf: str) -> DataFrame:
-    q = signatures.query_signatures(topics(spark, sf), MD5, stats(spark, sf))
-    return S.search(documents(spark, sf), q, K).select("topic_id", "rank", "score", "dist", "doc_id", "quality")
+    known = stats(spark, sf)
+    q = signatures.query_signatures(topics(spark, sf), MD5, known)
+    return S.search(documents(spark, sf, known), q, K).select("topic_id", "rank", "score", "dist", "doc_id", "quality")
 
 
 TOPIC_SEARCH = f"""{DOCUMENTS}, {TOPICS},
@@ -120,7 +128,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY dist, qua
 def query_search(spark: SparkSession, sf: str) -> DataFrame:
     """One free-text query: the text of the first benchmark item."""
     text = topics(spark, sf).agg(F.min_by("text", "topic_id").alias("text")).withColumn("topic_id", F.lit(0).cast("bigint"))
-    return S.search(documents(spark, sf), signatures.query_signatures(text, MD5, stats(spark, sf)), K).select("rank", "score", "dist", "doc_id")
+    known = stats(spark, sf)
+    return S.search(documents(spark, sf, known), signatures.query_signatures(text, MD5, known), K).select("rank", "score", "dist", "doc_id")
 
 
 QUERY_SEARCH = f"""WITH {DOCUMENTS}, {_TOPIC_WEIGHTS.format(source="SELECT 0 AS topic_id, arg_min(text, item_id) AS text FROM benchmark")}, {_bits_sql("qweights", "topic_id", "qsig")},
@@ -154,8 +163,9 @@ SELECT topic_id, rank, dist, doc_num, doc_id FROM ranked WHERE rank <= {K}"""
 
 
 def trec_output(spark: SparkSession, sf: str) -> DataFrame:
-    q = signatures.query_signatures(topics(spark, sf), MD5, stats(spark, sf))
-    return R.lines(S.search(documents(spark, sf), q, K))
+    known = stats(spark, sf)
+    q = signatures.query_signatures(topics(spark, sf), MD5, known)
+    return R.lines(S.search(documents(spark, sf, known), q, K))
 
 
 # ---- slice index ----
@@ -166,24 +176,43 @@ def issl_build(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("slice", "val", "n", F.array_join(F.col("postings").cast("array<string>"), ",").alias("postings"))
 
 
-_SLICES = ", ".join(f"({i}, {a}, {b - a})" for i, (a, b) in enumerate(layout(64, SLICE)))
-SLICED = f"""{EMBEDDED},
-cuts(slice, a, bits_n) AS (VALUES {_SLICES}),
+
+
+def _sliced_sql(width: int) -> str:
+    cuts = ", ".join(f"({i}, {a}, {b - a})" for i, (a, b) in enumerate(layout(64, width)))
+    return f"""{EMBEDDED},
+cuts(slice, a, bits_n) AS (VALUES {cuts}),
 sliced AS (SELECT doc_num, slice, bits_n, list_sum(list_transform(range(bits_n), lambda j: CASE WHEN substr(bits, (a + j + 1)::BIGINT, 1) = '1' THEN (1::BIGINT << (bits_n - 1 - j)::INT) ELSE 0 END))::INT AS val FROM sig, cuts)"""
-_MASKS = ", ".join(f"({m}, {SLICE - m.bit_count()})" for m in slices.variants(SLICE, RADIUS))
-VOTES = f"""{SLICED}, masks(mask, score) AS (VALUES {_MASKS}),
-probes AS (SELECT doc_num, slice, xor(val, mask)::INT AS val, score FROM sliced, masks),
+
+
+def _votes_sql(width: int, radius: int, every: int = 1) -> str:
+    masks = ", ".join(f"({m}, {width - m.bit_count()})" for m in slices.variants(width, radius))
+    return f"""{_sliced_sql(width)}, masks(mask, score) AS (VALUES {masks}),
+probes AS (SELECT doc_num, slice, xor(val, mask)::INT AS val, score FROM sliced, masks WHERE doc_num % {every} = 0),
 votes AS (SELECT p.doc_num AS query, s.doc_num AS found, sum(score)::BIGINT AS votes FROM probes p JOIN sliced s USING (slice, val) GROUP BY ALL)"""
 
 
-def issl_search(spark: SparkSession, sf: str) -> DataFrame:
-    slice_width, radius, rerank = FOUND_BY
-    return slices.search(embedded(spark, sf), K, rerank, slice_width, radius)
+SLICED, VOTES = _sliced_sql(SLICE), _votes_sql(SLICE, RADIUS)
+
+
+def _indexed(stored: bool) -> Entry:
+    """The search of signatures whose number is divisible by EVERY against all, cut into slices on the way or read from a written index."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        slice_width, radius, rerank = FOUND_BY
+        sig, index = embedded(spark, sf), None
+        if stored:
+            path = new_path(spark, "issl")
+            slices.write(slices.build(sig, slice_width), path)
+            index = spark.read.parquet(path)
+        return slices.search(sig, K, rerank, slice_width, radius, queries=sig.where(F.col("doc_num") % EVERY == 0), index=index)
+
+    return run, ISSL_SEARCH
 
 
-ISSL_SEARCH = f"""WITH {VOTES},
+ISSL_SEARCH = f"""WITH {_votes_sql(*FOUND_BY[:2], EVERY)},
 placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY votes DESC, found) AS place FROM votes),
-met AS (SELECT query, found, bit_count(xor(a.bits::BIT, b.bits::BIT))::INT AS dist FROM placed JOIN sig a ON a.doc_num = query JOIN sig b ON b.doc_num = found WHERE place <= {RERANK}),
+met AS (SELECT query, found, bit_count(xor(a.bits::BIT, b.bits::BIT))::INT AS dist FROM placed JOIN sig a ON a.doc_num = query JOIN sig b ON b.doc_num = found WHERE place <= {FOUND_BY[2]}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, found)::INT AS rank FROM met)
 SELECT query AS doc_num, found AS found_num, dist, rank FROM ranked WHERE rank <= {K}"""
 
@@ -217,7 +246,8 @@ def _query_histogram(part: int) -> Entry:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         text = topics(spark, sf).agg(F.min_by("text", "topic_id").alias("text")).withColumn("topic_id", F.lit(0).cast("bigint"))
         rel = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("rel"))
-        return histogram.of_query(documents(spark, sf), signatures.query_signatures(text, MD5, stats(spark, sf)), rel if part else None)[part]
+        known = stats(spark, sf)
+        return histogram.of_query(documents(spark, sf, known), signatures.query_signatures(text, MD5, known), rel if part else None)[part]
 
     base = QUERY_SEARCH.split("\nfound AS")[0]
     if not part:
@@ -300,14 +330,15 @@ sampled AS (SELECT *, row_number() OVER (PARTITION BY topic_id, relevant ORDER B
 
 def text_feedback(spark: SparkSession, sf: str) -> DataFrame:
     """Topics searched by their first line, refined by all of their text."""
-    s, sig = stats(spark, sf), documents(spark, sf)
+    s = stats(spark, sf)
+    sig = documents(spark, sf, s)
     short = topics(spark, sf).select("topic_id", F.substring_index("text", "\n", 1).alias("text"), F.col("text").alias("refine"))
     query, refine = (signatures.query_signatures(t, MD5, s) for t in feedback.refined(short))
     found = cut(S.search(sig, query, FED).select("topic_id", "rank", "dist", "doc_num", "doc_id", "quality", "offset_begin"), "results")
     return feedback.by_text(found, sig, refine, RERANKED).select("topic_id", "doc_id", "dist", "rank")
 
 
-_SHORT = _TOPIC_WEIGHTS.format(source="SELECT item_id AS topic_id, substr(text, 1, 100) AS text FROM benchmark")
+_SHORT = _TOPIC_WEIGHTS.format(source="SELECT item_id AS topic_id, string_split(text, chr(10))[1] AS text FROM benchmark")
 _SHORT = _SHORT.replace("qtok", "stok").replace("qtf", "stf").replace("qweights", "sweights")
 TEXT_FEEDBACK = f"""WITH {DOCUMENTS}, {TOPICS}, {_SHORT}, {_bits_sql("sweights", "topic_id", "ssig")},
 found AS (SELECT q.topic_id, s.*, {_MASKED} AS dist FROM ssig q, sig s),
@@ -323,6 +354,7 @@ QUERIES: dict[str, Entry] = {
     "signature_traditional": _random("TRADITIONAL"),
     "signature_skip": _random("SKIP"),
     "signature_old": _random("OLD"),
+    "signature_overlapping": (overlapping_signature, None),
     "hamming_pairs": (hamming_pairs, f"WITH {EMBEDDED} SELECT a.doc_num AS a, b.doc_num AS b, {_PAIR} FROM sig a JOIN sig b ON a.doc_num < b.doc_num"),
     "exhaustive_docsim": (docsim, f"WITH {EMBEDDED}, {_docsim_sql(K)} SELECT doc_num, found_num, dist, rank FROM near"),
     "topic_search": (topic_search, f"WITH {TOPIC_SEARCH} SELECT topic_id, rank, 1000001 - rank AS score, dist, doc_id, quality FROM ranked WHERE rank <= {K}"),
@@ -333,7 +365,8 @@ QUERIES: dict[str, Entry] = {
     "issl_build": (issl_build, f"WITH {SLICED} SELECT slice::INT AS slice, val, count(*)::INT AS n, string_agg(doc_num, ',' ORDER BY doc_num) AS postings FROM sliced GROUP BY ALL"),
     "issl_probe_variants": (lambda s, d: slices.probes(embedded(s, d), SLICE, RADIUS), f"WITH {VOTES} SELECT doc_num, slice::INT AS slice, val, score::INT AS score FROM probes"),
     "issl_votes": (lambda s, d: slices.votes(embedded(s, d), SLICE, RADIUS), f"WITH {VOTES} SELECT query, found, votes FROM votes"),
-    "issl_search": (issl_search, ISSL_SEARCH),
+    "issl_search": _indexed(False),
+    "issl_search_stored": _indexed(True),
     "histogram_doc": (histogram_doc, f"WITH {EMBEDDED}, {_histogram_sql(f'SELECT {_PAIR} FROM sig a JOIN sig b ON a.doc_num < b.doc_num')}"),
     "histogram_relevant": (
         lambda s, d: histogram.of_relevant_pairs(embedded(s, d), relevant(s, d)),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.text import MARKUP, MASKS, basename, mapped_ids, porter_stem, quality, s_stem, stoplist, tokens, without_markup, without_stopwords
-from sigloom.functions.tokenizer import Splitting, overlapped, segments
+from sigloom.functions.tokenizer import Splitting, segments
 from sigloom.operators import terms as T
 from sigloom.session import table
 
@@ -119,8 +119,7 @@ def porter(spark: SparkSession, sf: str) -> DataFrame:
 
 def _split(splitting: Splitting, overlap: bool = False) -> Entry:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        found = segments(_docs(spark, sf), splitting=splitting)
-        return overlapped(found) if overlap else found
+        return segments(_docs(spark, sf), splitting=splitting, overlap=overlap)
 
     return run, None
 

@@ -12,7 +12,7 @@ from sigloom.functions.bits import bit_string, hex_string
 from sigloom.operators import bands, runs, sequences, signatures, tables
 from sigloom.operators import search as S
 from sigloom.operators.terms import doc_terms
-from sigloom.plans.search import EMBEDDED, ISSL_SEARCH, _docsim_sql, documents, embedded, issl_search
+from sigloom.plans.search import EMBEDDED, EVERY, ISSL_SEARCH, _docsim_sql, _indexed, documents, embedded
 from sigloom.plans.text import DOCS, Entry, tf_sql
 from sigloom.session import cut, table
 from sigloom.sources.topics import sentence_topics, sentences
@@ -122,7 +122,7 @@ def _ratio(df: DataFrame) -> DataFrame:
 
 def hdr_eval(spark: SparkSession, sf: str) -> DataFrame:
     """The full search as truth against the slice index."""
-    rows = issl_search(spark, sf).select(F.col("doc_num").alias("topic_id"), "rank", F.col("dist").alias("hd"))
+    rows = _indexed(False)[0](spark, sf).select(F.col("doc_num").alias("topic_id"), "rank", F.col("dist").alias("hd"))
     return _ratio(runs.distance_ratio(_run(spark, sf), rows))
 
 
@@ -140,14 +140,19 @@ def _hdr_sql() -> str:
     return f"{_RUN}, truth AS (SELECT topic_id, rank, hd FROM run), found AS (SELECT doc_num AS topic_id, rank, dist AS hd FROM ({ISSL_SEARCH})) {_RATIO}"
 
 
-def cosine(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return runs.cosine_pairs(doc_terms(docs)).select("a", "b", F.round("cosine", 9).alias("cosine"))
+def _cosine(stemmer: str) -> Entry:
+    """Every twentieth document against all others."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        terms = cut(doc_terms(table(spark, sf, "documents").select("doc_id", "text"), stemmer=stemmer), "terms")
+        return runs.cosine_pairs(terms, EVERY).select("a", "b", F.round("cosine", 9).alias("cosine"))
+
+    return run, COSINE if stemmer == "none" else None
 
 
-COSINE = f"""WITH {tf_sql("SELECT item_id AS doc_id, text FROM benchmark")}, norms AS (SELECT doc_id, sqrt(sum(cnt * cnt)::DOUBLE) AS norm FROM tf GROUP BY doc_id)
+COSINE = f"""WITH {tf_sql("SELECT doc_id, text FROM documents")}, norms AS (SELECT doc_id, sqrt(sum(cnt * cnt)::DOUBLE) AS norm FROM tf GROUP BY doc_id)
 SELECT x.doc_id AS a, y.doc_id AS b, round(sum(x.cnt * y.cnt) / (any_value(nx.norm) * any_value(ny.norm)), 9) AS cosine
-FROM tf x JOIN tf y ON x.term = y.term AND x.doc_id < y.doc_id JOIN norms nx ON nx.doc_id = x.doc_id JOIN norms ny ON ny.doc_id = y.doc_id GROUP BY ALL"""
+FROM tf x JOIN tf y ON x.term = y.term AND x.doc_id <> y.doc_id AND x.doc_id % {EVERY} = 0 JOIN norms nx ON nx.doc_id = x.doc_id JOIN norms ny ON ny.doc_id = y.doc_id GROUP BY ALL"""
 
 
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,7 +249,8 @@ RUNS: dict[str, Entry] = {
     "trec_dedup": (trec_dedup, TREC_DEDUP),
     "hdr_eval": (hdr_eval, _hdr_sql()),
     "hdr_eval_csim": (hdr_eval_csim, f"{_RUN}, truth AS (SELECT * FROM run), found AS (SELECT * FROM run) {_RATIO}"),
-    "cosine_docsim": (cosine, COSINE),
+    "cosine_docsim": _cosine("none"),
+    "cosine_docsim_porter": _cosine("porter"),
     "plag_votes": (plag_votes, f"{_VOTES} SELECT * FROM voted"),
     "plag_spans": (plag_spans, PLAG_SPANS),
     "plag_errors": (plag_errors, PLAG_ERRORS),

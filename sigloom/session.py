@@ -43,9 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, name: str = "cut") -> str:
     """Write ``df`` to a new folder of the shared folder; its path."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return path
 
