@@ -34,6 +34,7 @@ from sigloom.session import cut, read_packed, saved, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words that a worker holds (about 50 bytes each); bytes of the longest word that is folded; buckets of the rank map.
 DICTIONARY, LONG, BUCKETS = 2_000_000, 64, 65536
+PLAN_LENGTH = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -388,12 +389,20 @@ def _shared_ranks(context, path: str):  # noqa: ANN001, ANN202
     return _known[key]
 
 
+def _short_plans(spark: SparkSession) -> None:
+    """The driver keeps the texts of plans; those that hold a vocabulary are cut short."""
+    key = "spark.sql.maxPlanStringLength"
+    if int(spark.conf.get(key).rstrip("bB")) > PLAN_LENGTH:
+        spark.conf.set(key, str(PLAN_LENGTH))
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY, size: int = DICTIONARY) -> DataFrame:
     """docs with ``token_ids``, which replaces a column of that name.
 
     A null text has null ids, an empty one none. Ids follow the vocabulary of ``path``; every byte is in it, so every text can be
     encoded. Repeated rows are encoded each. All other columns stay, whatever their names.
     """
+    _short_plans(docs.sparkSession)
     known, folder = _shared_ranks(docs.sparkSession.sparkContext, path), dictionary(docs, path, size)
     rest = [c for c in docs.columns if c != "token_ids"]
     whole, parts, which, words_ = fresh(rest, "whole", "parts", "which", "words")
