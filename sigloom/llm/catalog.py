@@ -31,5 +31,4 @@ def oracle_sql() -> dict[str, str]:
         "op2_winnowing_line_dedup": line_dedup.SQL,
         "op8_risk_controlled_quality_rules": quality_rules.SQL,
         "op9_weighted_fair_mixing": mixing.SQL,
-        "op10_paragraph_fingerprints": fingerprints.SQL,
     }

@@ -22,8 +22,6 @@ from sigloom.llm.words import mix
 from sigloom.session import cut, table
 
 CELLS, GROWTH, PARTS = 24, 4, 3
-#: Ids of one range of this size are ordered in one task; ranges are then linked.
-RANGE = 65536
 
 
 def digest(paragraph: Column) -> Column:
@@ -97,15 +95,15 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def before(slim: DataFrame) -> DataFrame:
-    """(v, p) of slim (key, v, size): each document with the last and with the shortest before it that have the same key. Ranges of ids are linked by their ends."""
+    """(v, p) of slim (key, v, size, range): each document with the last and with the shortest before it that have the same key. Documents of a
+    range are ordered in one task for each key; ranges are linked by their ends."""
     short, past = F.struct("size", "v"), (Window.unboundedPreceding, -1)
-    slim = slim.withColumn("range", F.floor(F.col("v.doc_id") / RANGE))
     ends = slim.groupBy("key", "range").agg(F.max("v").alias("end"), F.min(short).alias("low"))
     ranges = Window.partitionBy("key").orderBy("range")
     ends = ends.select("key", F.col("range").alias("r"), F.lag("end").over(ranges).alias("end"), F.min("low").over(ranges.rowsBetween(*past)).alias("low"))
     own = Window.partitionBy("key", "range").orderBy("v")
     slim = slim.withColumns({"own": F.lag("v").over(own), "least": F.min(short).over(own.rowsBetween(*past))})
-    met = slim.alias("s").join(ends.alias("e"), (F.col("s.key") == F.col("e.key")) & F.col("range").eqNullSafe(F.col("r")))
+    met = slim.alias("s").join(ends.alias("e"), (F.col("s.key") == F.col("e.key")) & (F.col("range") == F.col("r")))
     both = F.array(F.coalesce("own", "end"), F.least("least", "low")["v"])
     return met.select("v", F.explode(both).alias("p")).where("p is not null").distinct()
 
@@ -120,9 +118,11 @@ def ranked(pairs: DataFrame, lists: DataFrame) -> DataFrame:
 
 def versions(rows: DataFrame) -> DataFrame:
     """(doc_id, th, previous_id, previous_th): each document with the earlier one that shares most paragraphs, of those that share any."""
-    lists = cut(shared(rows), "shared")
+    # ranges of equal numbers of documents in the order of their ids, whatever these are
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = cut(shared(rows).repartitionByRange(ranges, "v").withColumn("range", F.spark_partition_id()), "shared")
     keys = F.array_append("shared", F.xxhash64("shared"))
-    near = cut(ranked(before(lists.select(F.explode(keys).alias("key"), "v", "size")).alias("pairs"), lists), "near")
+    near = cut(ranked(before(lists.select(F.explode(keys).alias("key"), "v", "size", "range")).alias("pairs"), lists), "near")
     # more than best.n in common: the first common paragraph has best.n others behind it in both lists
     each = lists.select("v", F.size("shared").alias("size"), F.posexplode("shared").alias("pos", "digest"))
     bound = near.select(F.col("v").alias("w"), F.col("best.n").alias("least"))
@@ -160,7 +160,7 @@ def differences(docs: DataFrame, cells: int = CELLS) -> DataFrame:
 
     The previous version is the earlier document that shares most paragraphs; of several with as many, the shortest that
     versions() meets, then the latest. Documents that share no paragraph with an earlier one have no row; so null texts and texts of blank lines. A paragraph counts once in a
-    document. Rows of equal id and text are one document; null ids come first. Ids must be numbers.
+    document. Rows of equal id and text are one document; null ids come first. Ids of any type are in their own order.
     """
     if cells % PARTS:
         raise ValueError("cells must be a multiple of 3")
@@ -168,33 +168,18 @@ def differences(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     pairs = cut(versions(rows), "versions")
     out = None
     while True:
+        ids = pairs.select("doc_id", "th").union(pairs.select("previous_id", "previous_th")).distinct()
+        same = F.col("r.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("r.th") == F.col("i.th"))
+        rows = cut(rows.alias("r").join(ids.alias("i"), same, "left_semi"), "paragraphs")
         found = cut(compared(pairs, rows, cells), "compared")
         out = found.where("done") if out is None else out.unionByName(found.where("done"))
         pairs = found.where("not done").select(*pairs.columns)
         if not pairs.take(1):
             return out.select("doc_id", "previous_id", "added", "removed")
         cells *= GROWTH
-        ids = pairs.select("doc_id", "th").union(pairs.select("previous_id", "previous_th")).distinct()
-        rows = rows.alias("r").join(ids.alias("i"), F.col("r.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("r.th") == F.col("i.th")), "left_semi")
-        rows = cut(rows, "paragraphs")
 
 
 def op10_paragraph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = differences(table(spark, sf_dir, "documents"))
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return found.select("doc_id", "previous_id", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"), text("added"), text("removed"))
-
-
-SQL = """
-WITH lines AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
-rows AS (
-  SELECT doc_id, text, ls[1] AS opening, list_distinct(list_transform(ls, lambda x: CAST('0x' || substr(md5(x), 1, 15) AS BIGINT))) AS digests
-  FROM lines WHERE len(ls) > 0),
-pairs AS (
-  SELECT doc_id, digests AS new, lag(doc_id) OVER w AS previous_id, lag(digests) OVER w AS old
-  FROM rows WINDOW w AS (PARTITION BY opening ORDER BY doc_id NULLS FIRST)),
-changes AS (
-  SELECT doc_id, previous_id, list_sort(list_filter(new, lambda x: NOT list_contains(old, x))) AS a, list_sort(list_filter(old, lambda x: NOT list_contains(new, x))) AS r
-  FROM pairs WHERE old IS NOT NULL)
-SELECT doc_id, previous_id, len(a)::INT AS n_added, len(r)::INT AS n_removed, array_to_string(a, ',') AS added, array_to_string(r, ',') AS removed FROM changes
-"""

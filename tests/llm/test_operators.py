@@ -361,6 +361,32 @@ def test_previous_version_shares_most_paragraphs(spark):
         assert (len(r["added"]), len(r["removed"])) == (len(sets[i] - old), len(old - sets[i]))
 
 
+def test_registered_fingerprints_match_brute_force(spark):
+    """The registered query over a whole table. Which of several earlier documents that share as many paragraphs is compared is the operator's choice."""
+    import hashlib
+
+    digest = lambda p: int(hashlib.md5(p.encode()).hexdigest()[:15], 16)
+    rows = {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").collect()}
+    sets = {i: {digest(x) for x in t.split("\n") if x.strip(" ")} for i, t in rows.items()}
+    got = {r["doc_id"]: r for r in catalog.queries()["op10_paragraph_fingerprints"](spark, SMALL).collect()}
+    most = {i: m for i in sets if (m := max((len(sets[i] & sets[j]) for j in sets if j < i), default=0))}
+    assert got.keys() == most.keys() and len(got) > 10
+    for i, r in got.items():
+        new, old = sets[i], sets[r["previous_id"]]
+        assert r["previous_id"] < i and len(new & old) == most[i]
+        assert (r["n_added"], r["n_removed"]) == (len(new - old), len(old - new))
+        assert r["added"] == ",".join(map(str, sorted(new - old))) and r["removed"] == ",".join(map(str, sorted(old - new)))
+
+
+def test_fingerprints_of_named_documents(spark):
+    """Ids that are strings, in their order; repeated rows are one document; a null id comes first."""
+    body = [f"paragraph {i}" for i in range(6)]
+    rows = [("b", body + ["more"]), ("a", body), ("c", body[1:]), ("c", body[1:]), (None, body[:3]), ("d", ["alone"])]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id string, text string")
+    got = {r["doc_id"]: (r["previous_id"], len(r["added"]), len(r["removed"])) for r in fingerprints.differences(docs).collect()}
+    assert got == {"a": (None, 3, 0), "b": ("a", 1, 0), "c": ("a", 0, 1)}
+
+
 # ---- learned scores ----
 
 
