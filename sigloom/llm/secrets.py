@@ -3,12 +3,14 @@
 For each format of labelled credentials a probabilistic automaton is inferred: the examples are laid out as a prefix tree, and its
 states are merged, red by blue, where the frequencies of stopping and going on agree within Hoeffding's bound, also of all states
 behind them (ALERGIA; Carrasco and Oncina, 1994). One more automaton is inferred from labelled strings that are no credentials.
-Every candidate of every text is then scored: the log-likelihood a symbol under the best format, against that of the other automaton.
-A candidate is a run of characters, or a part of one from any separator to another, as a key behind its name, in a path or before a full stop.
-
-Automata read symbols, not characters: the prefix that all examples of a format share stays literal, behind it separators stay
-literal, and letters and digits between separators are written as the narrowest class that holds all of them. A format's automaton
-so learns lengths, separators and classes, while a character adds the evenly spread chance of its class.
+Every candidate of every text is then scored: the log-likelihood a character under the best format, against that of the other automaton.
+A candidate is a run of characters, or a part of one: from any separator or literal prefix of a format to any separator, as a key behind
+its name, in a path or before a full stop.
+
+Automata read symbols: the prefix that all examples of a format share and separators stay as they are, other characters are written
+as one of five classes (digits, letters that are hexadecimal digits or not, in either case), and add the even chance of the class. States
+of a format are merged if they stand as far behind as many separators: thousands of branches of the tree become a few states for each
+place, which keep the lengths and which classes a place has. States of the other automaton are merged wherever they agree.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import string
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,26 +31,17 @@ from pyspark.sql import functions as F
 
 from sigloom.session import table
 
-#: Candidates: runs of these characters, SHORTEST at least, and their parts; Java's and Python's syntax.
-CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9_\-+/=.]{15,}"
-SHORTEST = 16
-#: Confidence of a merge; probability of what an automaton has not seen; share of held-out credentials that may score below the bar.
-ALPHA, UNSEEN, MISSED = 0.05, 1e-4, 0.01
+#: Confidence of a merge; probability of a symbol that no example has; symbols that smooth a state's shares; share of held-out credentials that may score below the bar.
+ALPHA, UNSEEN, SMOOTH, MISSED = 0.05, 1e-4, 1.0, 0.01
 #: Labelled strings used at most of each format.
 LABELLED = 400
 OTHER = "other"
 
-CLASSES = (
-    ("d", string.digits),
-    ("x", string.digits + "abcdef"),
-    ("X", string.digits + "ABCDEF"),
-    ("l", string.ascii_lowercase),
-    ("U", string.ascii_uppercase + string.digits),
-    ("w", string.ascii_lowercase + string.digits),
-    ("a", string.ascii_letters + string.digits),
-)
-_RUN = re.compile(r"[A-Za-z0-9]+|.", re.DOTALL)
-_TOKEN, _DIGIT = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[0-9]")
+CLASSES = {"d": string.digits, "h": "abcdef", "l": string.ascii_lowercase[6:], "H": "ABCDEF", "U": string.ascii_uppercase[6:]}
+#: Of each character of a class its symbol, of two letters, so that no literal is like it.
+_SYMBOL = {c: name * 2 for name, members in CLASSES.items() for c in members}
+_CHANCE = {name * 2: -math.log(len(members)) for name, members in CLASSES.items()}
+_TOKEN = re.compile(r"[A-Za-z0-9]+")
 
 
 def labelled_examples(seed: int = 5, each: int = LABELLED) -> list[tuple[str, str]]:
@@ -85,16 +79,13 @@ def labelled_examples(seed: int = 5, each: int = LABELLED) -> list[tuple[str, st
 
 def symbols(text: str, prefix: str = "") -> tuple[list[str], float]:
     """The symbols of a string behind a literal prefix, and the log-chance of its characters given their classes."""
-    out, chance = list(prefix), 0.0
-    for run in _RUN.findall(text[len(prefix) :]):
-        if not run[0].isascii() or not run[0].isalnum():
-            out.append(run)
-            continue
-        chars = set(run)
-        name, members = next((n, m) for n, m in CLASSES if chars <= set(m))
-        out += [name] * len(run)
-        chance -= len(run) * math.log(len(members))
-    return out, chance
+    out = [_SYMBOL.get(c, c) for c in text[len(prefix) :]]
+    return [*prefix, *out], sum(_CHANCE.get(s, 0.0) for s in out)
+
+
+def candidate(shortest: int) -> str:
+    """Runs of at least so many characters that credentials are made of; Java's and Python's syntax."""
+    return rf"[A-Za-z0-9][A-Za-z0-9_\-+/=.]{{{shortest - 1},}}"
 
 
 @dataclass
@@ -104,18 +95,40 @@ class Automaton:
     stop: dict[int, int] = field(default_factory=lambda: defaultdict(int))
     go: dict[int, dict[str, int]] = field(default_factory=lambda: defaultdict(dict))
     to: dict[int, dict[str, int]] = field(default_factory=lambda: defaultdict(dict))
+    table: dict[int, tuple[dict[str, tuple[float, int]], float]] = field(default_factory=dict)
+    most: dict[int, int] = field(default_factory=dict)
 
     def total(self, q: int) -> int:
         return self.stop[q] + sum(self.go[q].values())
 
+    def compiled(self) -> dict[int, tuple[dict[str, tuple[float, int]], float]]:
+        """Of each state the log-chance and the next state of each symbol, and the log-chance of stopping.
+
+        Shares are smoothed by SMOOTH symbols spread as in all examples. What a state has not seen leads where most go on to, or back to the start.
+        """
+        if not self.table:
+            spread: dict[str, int] = defaultdict(int)
+            for q in self.go:
+                for s, n in self.go[q].items():
+                    spread[s] += n
+            stops = sum(self.stop.values())
+            total = stops + sum(spread.values())
+            for q in list(self.go):
+                size, go = self.total(q) + SMOOTH, self.go[q]
+                most = self.to[q][max(go, key=go.__getitem__)] if go else 0
+                log = lambda n, all_: math.log((1 - UNSEEN) * (n + SMOOTH * all_ / total) / size)  # noqa: B023, E731
+                self.table[q] = {s: (log(go.get(s, 0), n), self.to[q].get(s, most)) for s, n in spread.items()}, log(self.stop[q], stops)
+                self.most[q] = most
+        return self.table
+
     def score(self, word: list[str]) -> float:
-        """Log-likelihood; what was not seen has the chance UNSEEN and leads back to the start."""
+        """Log-likelihood; a symbol that no example has has the chance UNSEEN."""
+        table = self.compiled()
         q, out = 0, 0.0
         for s in word:
-            n = self.go[q].get(s, 0)
-            out += math.log((1 - UNSEEN) * n / self.total(q)) if n else math.log(UNSEEN)
-            q = self.to[q].get(s, 0)
-        return out + (math.log((1 - UNSEEN) * self.stop[q] / self.total(q)) if self.stop[q] else math.log(UNSEEN))
+            chance, q = table[q][0].get(s) or (math.log(UNSEEN), self.most[q])
+            out += chance
+        return out + table[q][1]
 
 
 def prefix_tree(words: list[list[str]]) -> Automaton:
@@ -131,9 +144,21 @@ def prefix_tree(words: list[list[str]]) -> Automaton:
     return tree
 
 
-def infer(words: list[list[str]], alpha: float = ALPHA) -> Automaton:
-    """ALERGIA over the prefix tree of words."""
+def places(a: Automaton) -> dict[int, tuple[int, int]]:
+    """Of each state of a prefix tree how many separators are before it, and how many symbols since the last."""
+    found, todo = {0: (0, 0)}, [0]
+    while todo:
+        q = todo.pop()
+        for s, x in a.to[q].items():
+            found[x] = (found[q][0] + 1, 0) if len(s) == 1 else (found[q][0], found[q][1] + 1)
+            todo.append(x)
+    return found
+
+
+def infer(words: list[list[str]], alpha: float = ALPHA, placed: bool = True) -> Automaton:
+    """ALERGIA over the prefix tree of words; if placed, only states of the same place are merged."""
     a = prefix_tree(words)
+    place = places(a) if placed else defaultdict(tuple)
     margin = math.sqrt(0.5 * math.log(2 / alpha))
 
     def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -156,11 +181,12 @@ def infer(words: list[list[str]], alpha: float = ALPHA) -> Automaton:
                     todo.append((a.to[x][s], a.to[y][s]))
         return True
 
-    def fold(p: int, q: int) -> None:
-        """Adds the tree at q to p."""
-        todo = [(p, q)]
+    def fold(p: int, q: int) -> list[int]:
+        """Adds the tree at q to p; the states that were added to."""
+        todo, met = [(p, q)], []
         while todo:
             x, y = todo.pop()
+            met.append(x)
             a.stop[x] += a.stop[y]
             for s, n in a.go[y].items():
                 a.go[x][s] = a.go[x].get(s, 0) + n
@@ -168,22 +194,26 @@ def infer(words: list[list[str]], alpha: float = ALPHA) -> Automaton:
                     todo.append((a.to[x][s], a.to[y][s]))
                 else:
                     a.to[x][s] = a.to[y][s]
+        return met
 
-    red, blue = [0], deque((0, s) for s in sorted(a.to[0]))
+    red, blue = {0: None}, deque((0, s) for s in sorted(a.to[0]))
+    peers: dict[tuple, list[int]] = defaultdict(list, {place[0]: [0]})
     while blue:
         parent, s = blue.popleft()
         q = a.to[parent][s]
         if q in red:
             continue
-        for p in red:
+        for p in peers[place[q]]:
             if compatible(p, q):
                 a.to[parent][s] = p
-                fold(p, q)
+                grown = [x for x in fold(p, q) if x in red]
                 break
         else:
-            red.append(q)
+            red[q] = None
+            peers[place[q]].append(q)
+            grown = [q]
         waiting = set(blue)
-        blue.extend((p, t) for p in red for t in sorted(a.to[p]) if a.to[p][t] not in red and (p, t) not in waiting)
+        blue.extend((x, t) for x in dict.fromkeys(grown) for t in sorted(a.to[x]) if a.to[x][t] not in red and (x, t) not in waiting)
     kept = Automaton()
     for q in red:
         kept.stop[q], kept.go[q], kept.to[q] = a.stop[q], a.go[q], a.to[q]
@@ -194,8 +224,9 @@ def infer(words: list[list[str]], alpha: float = ALPHA) -> Automaton:
 class Scanner:
     formats: list[tuple[str, str, Automaton]]
     bars: dict[str, float]
-    #: Most tokens between separators that an example of a format has.
+    #: Most tokens between separators that an example of a format has; characters of the shortest example.
     tokens: int = 1
+    shortest: int = 16
 
     def best(self, text: str) -> tuple[str, float, float]:
         """The best format, its log-likelihood a character, and what that is above the other strings' automaton."""
@@ -213,22 +244,24 @@ class Scanner:
         return name, round(above, 9), name != OTHER and above > 0 and score >= self.bars[name]
 
     def parts(self, run: str) -> Iterator[tuple[int, int]]:
-        """The run, and each part of it from a separator to another, of no more tokens than examples have."""
+        """The run, and each part of it from a separator or a format's literal prefix to a separator, of no more tokens than examples have."""
         yield 0, len(run)
         found = [m.span() for m in _TOKEN.finditer(run)]
-        for i, (start, _) in enumerate(found):
-            for _, end in found[i : i + self.tokens]:
-                if SHORTEST <= end - start < len(run):
-                    yield start, end
+        inner = {m.start() for _, prefix, _ in self.formats if prefix for m in re.finditer(re.escape(prefix), run)}
+        for i, (first, upto) in enumerate(found):
+            for start in sorted({first, *(x for x in inner if first < x < upto)}):
+                for _, end in found[i : i + self.tokens]:
+                    if self.shortest <= end - start < len(run):
+                        yield start, end
 
     def found(self, run: str) -> list[tuple[str, str, float, bool]]:
-        """(candidate, format, score, is_secret) of the secrets of a run, of those that overlap the one most above other strings; else of the run, if it has a digit."""
+        """(candidate, format, score, is_secret) of the secrets of a run, of those that overlap the one most above other strings; else of the run."""
         scored = [(start, end, *self.is_secret(run[start:end])) for start, end in self.parts(run)]
         kept: list[tuple[int, int, str, float, bool]] = []
         for x in sorted((x for x in scored if x[4]), key=lambda x: (-x[3] * (x[1] - x[0] + 1), x[0])):
             if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
                 kept.append(x)
-        rows = sorted(kept) or (scored[:1] if _DIGIT.search(run) else [])
+        rows = sorted(kept) or scored[:1]
         return [(run[start:end], *rest) for start, end, *rest in rows]
 
 
@@ -238,12 +271,13 @@ def fit(examples: list[tuple[str, str]]) -> Scanner:
     for name, text in sorted(set(examples)):
         by[name].append(text)
     scanner = Scanner([], {})
+    scanner.shortest = min((len(t) for name, t in examples if name != OTHER), default=16)
     for name, texts in by.items():
         random.Random(1).shuffle(texts)
         texts = texts[:LABELLED]
         train = texts[: max(1, len(texts) * 4 // 5)]
         prefix = "" if name == OTHER else os.path.commonprefix(texts)
-        scanner.formats.append((name, prefix, infer([symbols(t, prefix)[0] for t in train])))
+        scanner.formats.append((name, prefix, infer([symbols(t, prefix)[0] for t in train], placed=name != OTHER)))
         if name != OTHER:
             scanner.tokens = max(scanner.tokens, *(len(_TOKEN.findall(t)) for t in texts))
     for name, texts in by.items():
@@ -259,20 +293,27 @@ def scanner_score(scanner: Scanner, name: str, text: str) -> float:
     return (automaton.score(word) + chance) / (len(text) + 1)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+@lru_cache(maxsize=1)
+def standard() -> Scanner:
+    """The scanner of labelled_examples()."""
+    return fit(labelled_examples())
+
+
+def candidates(docs: DataFrame, shortest: int) -> DataFrame:
     """(doc_id, runs): the runs of each text that could be or hold a credential, in order."""
-    found = F.regexp_extract_all(F.col("text").cast("string"), F.lit(CANDIDATE), F.lit(0))
+    found = F.regexp_extract_all(F.col("text").cast("string"), F.lit(candidate(shortest)), F.lit(0))
     return docs.select("doc_id", found.alias("runs")).where(F.size("runs") > 0)
 
 
 def scan(docs: DataFrame, examples: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, nth, candidate, format, score, is_secret) for each candidate of each row of docs, in order, nth from 0.
 
-    Of a run that holds secrets, each of them is a candidate; any other run with a digit is one as a whole. score is the log-likelihood
+    Runs are as long as the shortest example at least. Of a run that holds secrets, each of them is a candidate; any other is one as a
+    whole. score is the log-likelihood
     a character above that of other strings. Null and empty texts have no candidates; repeated rows have theirs each; long texts are
     scanned whole. Without examples labelled_examples() are used. An empty table gives an empty result.
     """
-    scanner = fit(labelled_examples() if examples is None else examples)
+    scanner = standard() if examples is None else fit(examples)
 
     @F.pandas_udf("struct<candidate: array<string>, format: array<string>, score: array<double>, is_secret: array<boolean>>")
     def run(lists: pd.Series) -> pd.DataFrame:
@@ -286,7 +327,7 @@ def scan(docs: DataFrame, examples: list[tuple[str, str]] | None = None) -> Data
             out.append([[x[i] for x in rows] for i in range(4)])
         return pd.DataFrame(out, columns=["candidate", "format", "score", "is_secret"])
 
-    rows = candidates(docs).select("doc_id", run("runs").alias("x"))
+    rows = candidates(docs, scanner.shortest).select("doc_id", run("runs").alias("x"))
     rows = rows.select("doc_id", F.posexplode(F.arrays_zip("x.candidate", "x.format", "x.score", "x.is_secret")).alias("nth", "x"))
     return rows.select("doc_id", "nth", "x.candidate", "x.format", "x.score", "x.is_secret")
 

@@ -55,7 +55,7 @@ APPLIED = {
     "fingerprints": lambda d, lab: fingerprints.differences(d),
 }
 #: Rows of the result over ROWS.
-SIZES = {"cotraining": 11, "line_dedup": 11, "secrets": 0, "toxicity": 11, "bpe": 11, "near_dedup": 10, "quality_rules": 11, "accepted": 11, "mixing": 11, "fingerprints": 0}
+SIZES = {"cotraining": 11, "line_dedup": 11, "secrets": 1, "toxicity": 11, "bpe": 11, "near_dedup": 10, "quality_rules": 11, "accepted": 11, "mixing": 11, "fingerprints": 0}
 
 
 @pytest.mark.parametrize("name", APPLIED)
@@ -80,6 +80,34 @@ def test_empty_tables(spark, docs, labels, name):
     assert len(APPLIED[name](docs, no_labels).collect()) == SIZES[name]
 
 
+def test_odd_rows_with_secrets(spark):
+    """Rows of the result where there are hits: null ids, repeated rows and clashing names; a very long text is scanned to its end."""
+    key = "AKIA" + "Q2W3E4R5T6Y7U8I9"
+    rows = [(None, f"key={key}"), (1, f"key={key}"), (1, f"key={key}"), (2, None), (3, ""), (4, "word " * 50_000 + key + ".")]
+    found = secrets.scan(extra(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted(((r["doc_id"] or -1), r["nth"], r["candidate"], r["format"], r["is_secret"]) for r in found) == [(i, 0, key, "access_key_id", True) for i in (-1, 1, 1, 4)]
+    assert found[0].asDict().keys() == {"doc_id", "nth", "candidate", "format", "score", "is_secret"}
+
+
+def test_odd_rows_with_versions(spark):
+    """As many shared paragraphs with several; repeated rows; null ids; clashing names; a very long document."""
+    body = [f"paragraph {i}" for i in range(4)]
+    long_ = [f"line {i}" for i in range(20_000)]
+    rows = [(None, body), (1, [*body, "x"]), (1, [*body, "x"]), (2, [*body, "y"]), (3, [" ", ""]), (4, long_), (5, [*long_, "end"])]
+    docs = extra(spark.createDataFrame([(i, "\n".join(t)) for i, t in rows] + [(6, None), (7, "")], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in fingerprints.differences(docs).collect()}
+    assert got.keys() == {1, 2, 5}
+    assert (got[1]["previous_id"], len(got[1]["added"]), got[1]["removed"]) == (None, 1, [])
+    assert got[2]["previous_id"] in (None, 1) and len(got[2]["added"]) == 1
+    assert (got[5]["previous_id"], len(got[5]["added"]), got[5]["removed"]) == (4, 1, [])
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_odd_urls(spark):
     pages = spark.createDataFrame([(1, None), (None, "http://a.example/x"), (2, ""), (3, "http://spam.example/x"), (3, "http://spam.example/x"), (4, "http://b.example/" + "y" * 20_000)], "page_id long, url string")
     found = url_model.filtered(pages.withColumn("gram", F.lit(1)).withColumn("key", F.lit(2)))
