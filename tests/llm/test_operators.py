@@ -543,10 +543,11 @@ def test_scanned_runs_match_brute_force(spark):
     """Every run of a whole table is scored as by the scanner alone."""
     import re
 
-    scanner, docs = secrets.standard(), table(spark, SMALL, "documents")
+    sf = "/root/testdata/sf0.01"  # the smallest tables hold none
+    scanner, docs = secrets.standard(), table(spark, sf, "documents")
     pattern = re.compile(secrets.candidate(scanner.shortest))
     wanted = [(d["doc_id"], i, *x[:2], x[3]) for d in docs.collect() for i, x in enumerate(x for run in pattern.findall(d["text"]) for x in scanner.found(run))]
-    got = [(r["doc_id"], r["nth"], r["candidate"], r["format"], r["is_secret"]) for r in catalog.queries()["op4_grammar_secret_scan"](spark, SMALL).collect()]
+    got = [(r["doc_id"], r["nth"], r["candidate"], r["format"], r["is_secret"]) for r in catalog.queries()["op4_grammar_secret_scan"](spark, sf).collect()]
     assert sorted(got) == sorted(wanted) and len(got) > 10
 
 
