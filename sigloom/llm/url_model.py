@@ -18,8 +18,8 @@ from sigloom.llm.features import fit_logistic
 from sigloom.session import cut, table
 
 ORDER, ALPHABET = 5, 256
-#: Words whose presence in a host rejects a URL for want of labels.
-SEEDS = ("spam", "casino", "bets", "pills", "adult", "porn", "xxx", "viagra", "escort", "ads-", "free-money", "warez")
+#: Words that reject a URL, for want of labels, whose host has one of them as a whole, between dots or hyphens.
+SEEDS = ("spam", "casino", "bets", "pills", "adult", "porn", "xxx", "viagra", "escort", "ads", "warez")
 #: Held-out labelled URLs that calibration uses at most.
 HELD = 20_000
 _START, _STOP = "\x02", "\x03"
@@ -31,9 +31,9 @@ def plain(url: Column) -> Column:
 
 
 def seeded(pages: DataFrame) -> DataFrame:
-    """Labels (page_id, accepted) for want of others: a host with a word of SEEDS is rejected."""
-    host = F.split(plain(F.col("url")), "[/?#]")[0]
-    return pages.select("page_id", (~host.rlike("|".join(w.replace("-", r"\-") for w in SEEDS))).cast("int").alias("accepted"))
+    """Labels (page_id, accepted) for want of others: a host with a word of SEEDS is rejected. The model learns no more than such words then; real labels are better."""
+    words = F.split(F.split(plain(F.col("url")), "[/?#]")[0], r"[.\-]")
+    return pages.select("page_id", (~F.arrays_overlap(words, F.array(*map(F.lit, SEEDS)))).cast("int").alias("accepted"))
 
 
 def grams(urls: DataFrame) -> DataFrame:
@@ -81,7 +81,8 @@ def filtered(pages: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
     score is the log-likelihood difference a character (with the end), rejected the calibrated probability, keep whether it is
     below 1/2. labels: (page_id, accepted); without them seeded() gives them. Null URLs count as empty, with only an end. Rows of
-    equal page_id are counted each, repeated rows get equal results. A page with contrary labels is rejected. Where held-out labels
+    equal page_id are counted each, repeated rows get equal results; a page with a null id has no label of its own, is scored and isn't
+    counted. A page with contrary labels is rejected. Where held-out labels
     lack a class, rejected is 1/2 * (1 + tanh(score)), which keeps negative scores and 0 goes. Empty tables give an empty result.
     """
     known = seeded(pages) if labels is None else labels

@@ -589,6 +589,25 @@ def test_url_scores_match_brute_force(spark):
     assert np.allclose([r["score"] for r in rows], brute_url_scores(known, plain), atol=1e-7)
 
 
+def test_seeds_are_whole_words_of_hosts(spark):
+    urls = ["http://alphabets.example/x", "http://downloads-x.example/", "https://spam-farm.example/casino", "http://news.example/casino", "m.adult.example", None]
+    found = url_model.seeded(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [r["accepted"] for r in found] == [1, 1, 0, 1, 0, 1]
+
+
+def test_url_filter_held_out(spark):
+    """Half of the pages are labelled, by their hosts; of the others few are judged otherwise. rejected is the logistic curve of score."""
+    pages = table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url")
+    labels = url_model.seeded(pages)
+    known = labels.where(F.pmod(F.xxhash64(F.lit(98), "page_id"), F.lit(2)) == 0)
+    met = url_model.filtered(pages, known).join(labels.join(known, "page_id", "left_anti"), "page_id").toPandas()
+    good = met["accepted"] == 1
+    assert len(met) > 1000 and met[good]["keep"].mean() > 0.99 and met[~good]["keep"].mean() < 0.05
+    assert ((met["rejected"] < 0.5) == met["keep"]).all()
+    order = met.sort_values("score")["rejected"].to_numpy()
+    assert (np.diff(order) >= -1e-12).all()
+
+
 def test_word_batches():
     batch = Batch([b"one two", b"", b"two one two"])
     assert list(np.diff(batch.first)) == [2, 0, 3]
