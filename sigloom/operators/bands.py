@@ -40,14 +40,16 @@ def kernel_signatures(
     """(key, words): a band's value is a mixture of the random vectors of the kernels near it, by a triangle; bits are set where the weighted
     mean over bands is 1/2 at least.
 
-    Values are normalised by ``shares`` (band, value, share), a row for each value of a band, which is broadcast; else linearly from
+    Values are normalised by ``shares`` (band, value, share), a row for each value of a band, which is joined; else linearly from
     least to most. Bands without weight are left out. Bands that no kernel reaches set no bit.
     """
     order = np.random.default_rng(seed).random((kernels, len(bands), width))
     weight = np.array([1.0 if weights is None else weights.get(b, 0.0) for b in bands])
-    table = None
+    rows, linear = rows.select(key, *bands), shares is None
     if shares is not None:
-        table = rows.sparkSession.sparkContext.broadcast({(r["band"], r["value"]): r["share"] for r in shares.toLocalIterator()})
+        for i, b in enumerate(bands):
+            own = shares.where(F.col("band") == i).select(F.col("value").alias("__value"), F.col("share").alias("__share"))
+            rows = rows.join(own, F.col(b).cast("bigint") == F.col("__value"), "left").withColumn(b, F.col("__share")).drop("__value", "__share")
     reach = spread / (kernels - 1)
     at = np.arange(kernels) / (kernels - 1)
     names = words(width)
@@ -55,10 +57,8 @@ def kernel_signatures(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[bands].to_numpy(dtype=float)
-            if table is None:
+            if linear:
                 x = (x - least) / (most - least)
-            else:
-                x = np.array([[table.value.get((i, int(v)), np.nan) if v == v else np.nan for i, v in enumerate(row)] for row in x], dtype=float).reshape(x.shape)
             near = np.maximum(reach - np.abs(at[None, None, :] - x[:, :, None]), 0.0)
             with np.errstate(invalid="ignore", divide="ignore"):
                 mixed = np.einsum("rbk,kbw->rbw", near, order) / near.sum(axis=2)[:, :, None]
@@ -67,7 +67,7 @@ def kernel_signatures(
             yield pd.DataFrame({key: pdf[key]} | {n: packed[:, i] for i, n in enumerate(names)})
 
     columns = ", ".join(f"{n} long" for n in names)
-    return rows.select(key, *bands).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, {columns}")
+    return rows.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, {columns}")
 
 
 def contrast(distances: DataFrame, truth: DataFrame, code: int) -> DataFrame:

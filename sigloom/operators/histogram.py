@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions.bits import hamming, word_columns
+from sigloom.operators.search import BLOCK, blocks
+from sigloom.session import cut
 
 
 def _bins(distances: DataFrame, width: int) -> DataFrame:
-    """(hd, n, fraction) for 0 to width, also where there are none; fractions are 0 where there are no distances at all."""
-    spark = distances.sparkSession
-    counts = distances.groupBy("dist").agg(F.count(F.lit(1)).alias("c"))
+    """_filled() of distances."""
+    return _filled(distances.groupBy("dist").agg(F.count(F.lit(1)).alias("c")), width)
+
+
+def _filled(counts: DataFrame, width: int) -> DataFrame:
+    """(hd, n, fraction) of counts (dist, c) for 0 to width, also where there are none; fractions are 0 where there are no distances at all."""
+    spark = counts.sparkSession
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"))
     all_ = spark.range(width + 1).select(F.col("id").cast("int").alias("hd"))
     met = all_.join(F.broadcast(counts), F.col("hd") == F.col("dist"), "left").crossJoin(F.broadcast(total))
@@ -19,19 +29,30 @@ def _bins(distances: DataFrame, width: int) -> DataFrame:
     return met.select("hd", n.alias("n"), F.when(F.col("total") > 0, n / F.col("total")).otherwise(F.lit(0.0)).alias("fraction"))
 
 
-def _pairs(signatures: DataFrame, source: int | None) -> DataFrame:
-    """(a, b, dist) of pairs a < b, a among the first ``source`` numbers."""
+def _pair_counts(signatures: DataFrame, source: int | None) -> DataFrame:
+    """(dist, c) of pairs a < b, a among the first ``source`` numbers. Rows are packed into blocks; a pair of blocks is one vectorised step that gives its counts."""
     names = word_columns(signatures.columns)
-    left = signatures.select(F.col("doc_num").alias("a"), *[F.col(n).alias(f"a{n}") for n in names])
-    left = left if source is None else left.where(F.col("a") < source)
-    right = signatures.select(F.col("doc_num").alias("b"), *[F.col(n).alias(f"b{n}") for n in names])
-    dist = hamming([F.col(f"a{n}") for n in names], [F.col(f"b{n}") for n in names])
-    return left.join(right, F.col("a") < F.col("b")).select("a", "b", dist.alias("dist"))
+    width = 64 * len(names)
+    rows = signatures.select("doc_num", F.array(*names).alias("w"))
+    sides = [cut(blocks(part, ["doc_num"], [F.col("doc_num")], ["doc_num", "w"], ["id", "w"], BLOCK, x), f"{x}blocks") for x, part in (("a_", rows if source is None else rows.where(F.col("doc_num") < source)), ("b_", rows))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts = np.zeros(width + 1, dtype=np.int64)
+            for row in pdf.itertuples(index=False):
+                a, b, i, j = np.stack(row.a_w), np.stack(row.b_w), np.asarray(row.a_id), np.asarray(row.b_id)
+                for at in range(0, len(a), 256):
+                    x = np.bitwise_count((a[at : at + 256, None, :] ^ b[None, :, :]).view(np.uint64)).sum(axis=2, dtype=np.int64)
+                    counts += np.bincount(x[i[at : at + 256, None] < j[None, :]], minlength=width + 1)
+            yield pd.DataFrame({"dist": np.arange(width + 1, dtype=np.int32), "c": counts})
+
+    met = sides[0].crossJoin(sides[1]).mapInPandas(run, "dist int, c long")
+    return met.groupBy("dist").agg(F.sum("c").alias("c")).where("c > 0")
 
 
 def of_pairs(signatures: DataFrame, source: int | None = None) -> DataFrame:
     """Over all pairs whose first has a number below ``source`` (all, if null)."""
-    return _bins(_pairs(signatures, source), 64 * len(word_columns(signatures.columns)))
+    return _filled(_pair_counts(signatures, source), 64 * len(word_columns(signatures.columns)))
 
 
 def of_relevant_pairs(signatures: DataFrame, relevant: DataFrame, source: int | None = None, begin: int | None = None, end: int | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from sigloom.session import cut
 BLOCK = 4096
 
 
-def _blocks(df: DataFrame, key: list[str], order: list, arrays: list[str], names: list[str], rows: int, prefix: str) -> DataFrame:
+def blocks(df: DataFrame, key: list[str], order: list, arrays: list[str], names: list[str], rows: int, prefix: str) -> DataFrame:
     """Blocks of about ``rows`` rows by a hash of the key, each sorted by ``order``; an array for each of the columns."""
     count = max(1, -(-df.count() // rows))
     block = F.pmod(F.xxhash64(F.lit(17), *key), F.lit(count))
@@ -68,8 +68,8 @@ def nearest(
     q = queries.select(F.col(query), F.array(*w).alias("w"), *([F.array(*masks).alias("m")] if masks else []))
     orders = [f"t{i}" for i in range(len(ties))]
     columns, names = [key, *orders, *(["g"] if group else []), "w"], ["id", *orders, *(["g"] if group else []), "w"]
-    sides = _blocks(s, ["g"] if group else [key], [F.col(o) for o in orders], columns, names, block, "s_")
-    asked = _blocks(q, [query], [F.col(query)], [query, "w", *(["m"] if masks else [])], ["id", "w", *(["m"] if masks else [])], block // 4, "q_")
+    sides = blocks(s, ["g"] if group else [key], [F.col(o) for o in orders], columns, names, block, "s_")
+    asked = blocks(q, [query], [F.col(query)], [query, "w", *(["m"] if masks else [])], ["id", "w", *(["m"] if masks else [])], block // 4, "q_")
     # written first, so that their sizes are known where the join is planned
     pairs = cut(asked, "queries").crossJoin(cut(sides, "blocks"))
     kinds = ", ".join(f"{o} {t}" for o, t in s.select(*orders).dtypes)

@@ -20,8 +20,14 @@ def token_rows(docs: DataFrame, mask: str = "alnum", markup: bool = False, stemm
 
 
 def doc_terms(docs: DataFrame, **options: object) -> DataFrame:
-    """(doc_id, term, cnt); options as of token_rows()."""
-    return token_rows(docs, **options).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("cnt"))
+    """(doc_id, term, cnt); options as of token_rows(). Porter's stems are looked up for counted words, not for each occurrence."""
+    stem = options.pop("stemmer", "none")
+    if stem != "porter":
+        return token_rows(docs, stemmer=stem, **options).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("cnt"))
+    stopwords = options.pop("stopwords", None)
+    rows = stemmed(token_rows(docs, **options).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("cnt")), stem)
+    rows = rows if stopwords is None else without_stopwords(rows, stopwords)
+    return rows.groupBy("doc_id", "term").agg(F.sum("cnt").alias("cnt"))
 
 
 def doc_totals(terms: DataFrame) -> DataFrame:

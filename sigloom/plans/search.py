@@ -305,7 +305,12 @@ def _blind(scaling: str = "default", method: str = "default", negative: int = 0,
         sql = f"{RESULTS}, {_new_words(sample)}, {left}, {_reranked(1, RERANKED + ignore - SAMPLE, 'rest')}"
     else:
         sql = f"{RESULTS}, {_new_words(sample)}, {_reranked(first, RERANKED + ignore)}"
-    return run, None if iterations > 1 else sql
+    if iterations == 2 and method == "default":
+        moved, ranked = _reranked(first, RERANKED + ignore).split("\nSELECT", 1)
+        again = f"results2 AS (SELECT x.*, s.bits FROM (SELECT {ranked}) x JOIN sig s ON s.doc_num = x.doc_num)"
+        second = _reranked(first, RERANKED + ignore, "results2").replace("words w", "words2 w").replace("moved", "moved2")
+        sql = f"{RESULTS}, {_new_words(sample)}, {moved}, {again}, {_new_words(sample.replace('FROM results', 'FROM results2'), out='words2')}, {second}"
+    return run, sql
 
 
 def _scaled(scaling: str) -> Entry:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_made: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -38,14 +42,35 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='sigloom-')}"
+        _own.append(tempfile.mkdtemp(prefix="sigloom-"))
+        path = f"file://{_own[-1]}"
         spark.conf.set(CHECKPOINT_KEY, path)
     return path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; it is deleted by clear(), at the end of the program at the latest."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def clear() -> int:
+    """Deletes the tables that were written to shared folders, of which DataFrames made so far may still need some; how many there were."""
+    n = len(_made)
+    while _made:
+        spark, path = _made.pop()
+        if spark.sparkContext._jsc is not None:  # not stopped
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return n
+
+
+@atexit.register
+def _end() -> None:
+    clear()
+    for folder in _own:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def saved(df: DataFrame, name: str = "cut") -> str:

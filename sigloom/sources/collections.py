@@ -9,7 +9,6 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
-import os
 import tarfile
 from collections.abc import Callable, Iterator
 
@@ -34,12 +33,14 @@ def targets(config: EngineConfig) -> list[str]:
     return [p for p in found if p]
 
 
-def files(paths: list[str]) -> list[str]:
-    """The paths, with folders replaced by the files in them; folders inside of folders are left alone."""
+def files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths, on any file system that Spark reads, with folders replaced by the files in them; folders inside of folders are left alone."""
     out: list[str] = []
     for p in paths:
-        if os.path.isdir(p):
-            out += sorted(e.path for e in os.scandir(p) if e.is_file())
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(path) and system.getFileStatus(path).isDirectory():
+            out += sorted(str(s.getPath().toString()) for s in system.listStatus(path) if s.isFile())
         else:
             out.append(p)
     return out
@@ -56,7 +57,7 @@ def _text(data: bytes) -> str:
 
 def _each_file(spark: SparkSession, paths: list[str], compression: str, read: Callable[[str, bytes], Iterator[tuple[str, str]]]) -> DataFrame:
     """Documents of whole files."""
-    data = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(files(paths)).select("path", "content")
+    data = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(files(spark, paths)).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -73,7 +74,7 @@ def _pieces(spark: SparkSession, paths: list[str], compression: str, end: str) -
     if compression.lower() != "none":
         found = _each_file(spark, paths, compression, lambda p, d: ((p, piece) for piece in _text(d).split(end)))
         return found.select(F.col("text").alias("value"), "path")
-    rows = spark.read.option("lineSep", end).text(files(paths))
+    rows = spark.read.option("lineSep", end).text(files(spark, paths))
     return rows.select("value", F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"))
 
 
@@ -217,7 +218,7 @@ def read_features(spark: SparkSession, paths: list[str]) -> DataFrame:
             for content in pdf["content"]:
                 yield pd.DataFrame(parse(content), columns=["doc_id", "bits"])
 
-    return spark.read.format("binaryFile").load(files(paths)).select("content").mapInPandas(run, "doc_id string, bits binary")
+    return spark.read.format("binaryFile").load(files(spark, paths)).select("content").mapInPandas(run, "doc_id string, bits binary")
 
 
 def read_fasta(spark: SparkSession, paths: list[str], compression: str = "none") -> DataFrame:

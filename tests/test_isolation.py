@@ -32,3 +32,10 @@ def test_cluster_needs_a_shared_folder():
         spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
         with pytest.raises(ValueError, match="checkpoint"):
             session.shared_dir(spark)
+
+
+def test_shared_tables_are_deleted(spark):
+    path = session.saved(spark.range(3), "gone")
+    assert Path(path.removeprefix("file://")).exists()
+    assert session.clear() >= 1 and not Path(path.removeprefix("file://")).exists()
+    assert session.clear() == 0
