@@ -14,7 +14,7 @@ from sigloom.operators import feedback, histogram, signatures, slices
 from sigloom.operators import search as S
 from sigloom.operators.terms import doc_terms, term_stats
 from sigloom.operators.vectors import Projection
-from sigloom.plans.text import DOCS, Entry, tf_sql, weights_sql
+from sigloom.plans.text import DOCS, Entry, segments_sql, tf_sql, weights_sql
 from sigloom.session import cut, new_path, table
 from sigloom.sources import results as R
 
@@ -22,6 +22,7 @@ MD5 = Projection(width=64, method="MD5")
 SLICE, RADIUS, K = 16, 1, 10
 #: Slice, radius and re-ranked signatures of the registered searches; signatures whose number is divisible by EVERY are their queries.
 FOUND_BY, EVERY = (8, 2, 200), 20
+OVERLAPPED = Splitting("hard", 64, 128)
 
 # ---- tables ----
 
@@ -91,10 +92,19 @@ def _random(method: str) -> Entry:
 
 def overlapping_signature(spark: SparkSession, sf: str) -> DataFrame:
     """Segments that share their terms with the next, weighed by log-likelihood."""
-    found = signatures.build(table(spark, sf, "documents"), MD5, stats(spark, sf), splitting=Splitting("hard", 64, 128), overlap=True)
+    found = signatures.build(table(spark, sf, "documents"), MD5, stats(spark, sf), splitting=OVERLAPPED, overlap=True)
     return found.select("doc_id", "seg", "unique_terms", "total_terms", "offset_begin", "offset_end", bit_string([F.col("w0")]).alias("bits"))
 
 
+OVERLAPPING = f"""{segments_sql(OVERLAPPED, True)}, {tf_sql(DOCS)},
+weights AS (
+  SELECT doc_id * 100000 + seg AS key, o.term, cnt, total, "begin", "end",
+    CASE WHEN ln(cnt / total * n / coalesce(ctf, cnt)) > 0 THEN trunc(ln(cnt / total * n / coalesce(ctf, cnt)) * (cnt - 0.5::DOUBLE) * 1000)::BIGINT ELSE cnt * 1000 END AS w
+  FROM overlapping o LEFT JOIN stats s ON o.term = s.term, whole), {_bits_sql("weights", "key", "bit_rows")}
+SELECT key // 100000 AS doc_id, (key % 100000)::INT AS seg, count(*)::INT AS unique_terms, sum(cnt)::INT AS total_terms, min("begin")::INT AS offset_begin, max("end")::INT AS offset_end, bits
+FROM weights JOIN bit_rows USING (key) GROUP BY ALL"""
+
+
 # ---- search ----
 
 
@@ -359,7 +369,7 @@ QUERIES: dict[str, Entry] = {
     "signature_traditional": _random("TRADITIONAL"),
     "signature_skip": _random("SKIP"),
     "signature_old": _random("OLD"),
-    "signature_overlapping": (overlapping_signature, None),
+    "signature_overlapping": (overlapping_signature, OVERLAPPING),
     "hamming_pairs": (hamming_pairs, f"WITH {EMBEDDED} SELECT a.doc_num AS a, b.doc_num AS b, {_PAIR} FROM sig a JOIN sig b ON a.doc_num < b.doc_num"),
     "exhaustive_docsim": (docsim, f"WITH {EMBEDDED}, {_docsim_sql(K)} SELECT doc_num, found_num, dist, rank FROM near"),
     "topic_search": (topic_search, f"WITH {TOPIC_SEARCH} SELECT topic_id, rank, 1000001 - rank AS score, dist, doc_id, quality FROM ranked WHERE rank <= {K}"),

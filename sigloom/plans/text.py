@@ -117,11 +117,45 @@ def porter(spark: SparkSession, sf: str) -> DataFrame:
     return T.token_rows(_docs(spark, sf)).select("term").distinct().select("term", porter_stem("term").alias("stem"))
 
 
+def segments_sql(splitting: Splitting, overlap: bool = False) -> str:
+    """CTEs to ``segmented`` (doc_id, seg, term, cnt, begin, end), with overlap also to ``overlapping``, which has total too."""
+    least, most = splitting.least, splitting.most
+    sentence = f"list_filter(stops, lambda q: q >= news[{least}])[1]"
+    z = f"least(news[{most}], {sentence})" if splitting.kind == "sentence" else f"news[{most}]"
+    step = "list(t.pos ORDER BY t.pos) FILTER (t.prev < %s) AS news, coalesce(list(t.pos ORDER BY t.pos) FILTER (t.stop), []) AS stops"
+    over = """,
+stotals AS (SELECT doc_id, seg, sum(cnt)::BIGINT AS n FROM segmented GROUP BY ALL),
+overlapping AS (
+  SELECT doc_id, seg, term, cnt, "begin", "end", (n + coalesce(m, 0))::BIGINT AS total FROM segmented JOIN stotals USING (doc_id, seg) LEFT JOIN (SELECT doc_id, seg + 1 AS seg, n AS m FROM stotals) USING (doc_id, seg)
+  UNION ALL
+  SELECT s.doc_id, s.seg + 1, term, cnt, "begin", "end", sum(cnt) OVER (PARTITION BY s.doc_id, s.seg ORDER BY first)::BIGINT
+  FROM segmented s WHERE (s.doc_id, s.seg + 1) IN (SELECT (doc_id, seg) FROM stotals))"""
+    return f"""WITH RECURSIVE parts AS (
+  SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS ts, string_split_regex(text, '[A-Za-z0-9]+') AS gs FROM documents),
+runs AS (SELECT doc_id, unnest(ts) AS t, unnest(gs[1:len(ts)]) AS g, unnest(gs[2:]) AS after, generate_subscripts(ts, 1) AS k FROM parts),
+placed AS (SELECT *, sum(strlen(g) + strlen(t)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS e FROM runs),
+kept AS (SELECT doc_id, lower(t) AS term, e - strlen(t) AS b, e, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos FROM placed WHERE strlen(t) <= 127),
+stopped AS (SELECT doc_id, k, contains(after, '.') AS dot, sum(contains(after, '.')::INT) OVER (PARTITION BY doc_id ORDER BY k) AS dots FROM placed),
+stok AS (
+  SELECT k.*, coalesce(lag(pos) OVER (PARTITION BY doc_id, term ORDER BY pos), 0) AS prev,
+    coalesce(lead(s.dots - s.dot::INT) OVER (PARTITION BY doc_id ORDER BY pos), 0) > s.dots - s.dot::INT AS stop
+  FROM kept k JOIN stopped s USING (doc_id, k)),
+seg(doc_id, seg, a, z) AS (
+  SELECT doc_id, 0, 1::BIGINT, {z} FROM (SELECT t.doc_id, {step % "1"} FROM stok t GROUP BY t.doc_id)
+  UNION ALL
+  SELECT doc_id, seg + 1, z0 + 1, {z} FROM (
+    SELECT s.doc_id, s.seg, s.z AS z0, {step % "s.z + 1"} FROM seg s JOIN stok t ON t.doc_id = s.doc_id AND t.pos > s.z GROUP BY s.doc_id, s.seg, s.z)),
+segmented AS (
+  SELECT t.doc_id, s.seg, t.term, count(*)::BIGINT AS cnt, min(t.b)::BIGINT AS "begin", max(t.e)::BIGINT AS "end", min(t.pos) AS first
+  FROM stok t JOIN seg s ON t.doc_id = s.doc_id AND t.pos BETWEEN s.a AND coalesce(s.z, 9000000000) GROUP BY ALL){over if overlap else ""}"""
+
+
 def _split(splitting: Splitting, overlap: bool = False) -> Entry:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return segments(_docs(spark, sf), splitting=splitting, overlap=overlap)
 
-    return run, None
+    last = 'SELECT doc_id, seg, term, cnt, "begin", "end", total FROM overlapping' if overlap else 'SELECT doc_id, seg, term, cnt, "begin", "end" FROM segmented'
+    return run, f"{segments_sql(splitting, overlap)}\n{last}"
 
 
 QUERIES: dict[str, Entry] = {
