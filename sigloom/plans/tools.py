@@ -15,7 +15,7 @@ from sigloom.operators.terms import doc_terms
 from sigloom.plans.search import EMBEDDED, EVERY, ISSL_SEARCH, _docsim_sql, _indexed, documents, embedded
 from sigloom.plans.text import DOCS, Entry, tf_sql
 from sigloom.session import cut, table
-from sigloom.sources.topics import sentence_topics, sentences
+from sigloom.sources.topics import SHORTEST, sentence_topics, sentences
 
 N = 7
 #: Hexadecimal digits of a bit string.
@@ -127,9 +127,16 @@ def hdr_eval(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hdr_eval_csim(spark: SparkSession, sf: str) -> DataFrame:
-    """Cosines of exact multiples of 1/64 as truth."""
-    truth = _run(spark, sf).withColumn("csim", 1.0 - F.col("hd") / 64.0)
-    return _ratio(runs.distance_ratio(runs.cosine_distances(truth, 64), _run(spark, sf)))
+    """Cosines of the vectors themselves as truth for the distances of their signatures."""
+    run, one = _run(spark, sf), table(spark, sf, "embeddings")
+    a, b = (one.select(F.col("vec_id").alias(k), F.col("embedding").cast("array<double>").alias(v)) for k, v in (("topic_id", "a"), ("doc_id", "b")))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i * j), F.lit(0.0), lambda t, i: t + i)
+    csim = dot("a", "b") / F.sqrt(dot("a", "a") * dot("b", "b"))
+    truth = run.join(a, "topic_id").join(b, "doc_id").withColumn("csim", F.round(csim, 9)).drop("a", "b")
+    return _ratio(runs.distance_ratio(runs.cosine_distances(truth, 64), run))
+
+
+_CSIM = "round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 9)"
 
 
 _RATIO = """, paired AS (SELECT topic_id, rank, sum(t) OVER w AS t, sum(f) OVER w AS f FROM (SELECT t.topic_id, t.rank, t.hd AS t, f.hd AS f FROM truth t JOIN found f USING (topic_id, rank)) WINDOW w AS (PARTITION BY topic_id ORDER BY rank))
@@ -243,12 +250,24 @@ def sentence_query(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.inline(sentences(F.col("text")))).select("doc_id", "begin", "text")
 
 
+def _sentences_sql(text: str) -> str:
+    """The list of struct(b, t) of the sentences of a text."""
+    none = "[]::STRUCT(b INT, t VARCHAR)[]"
+    return f"""list_reduce(list_transform(regexp_extract_all(regexp_replace({text}, '[^\\x00-\\x7F]', '?', 'g'), '[^.]*\\.'), lambda x: {{'at': 0, 'open': x, 'done': {none}}}),
+  lambda s, x: CASE WHEN length(s.open || x.open) >= {SHORTEST} THEN {{'at': (s.at + length(s.open || x.open))::INT, 'open': '', 'done': list_append(s.done, {{'b': s.at, 't': s.open || x.open}})}}
+    ELSE {{'at': s.at, 'open': s.open || x.open, 'done': s.done}} END, {{'at': 0, 'open': '', 'done': {none}}}).done"""
+
+
+SENTENCES = f"""SELECT doc_id, s.b AS "begin", s.t AS text FROM (SELECT doc_id, unnest({_sentences_sql("text")}) AS s FROM documents)"""
+SENTENCE_TOPICS = f"""SELECT (row_number() OVER (ORDER BY s.b) - 1)::INT AS topic_num, s.b::VARCHAR AS topic_id, s.t AS text
+FROM (SELECT unnest({_sentences_sql("value")}) AS s FROM (SELECT string_agg(text, '. ' ORDER BY item_id) AS value FROM benchmark))"""
+
 RUNS: dict[str, Entry] = {
     "resmerge": (resmerge, RESMERGE),
     "resmerge_percentages": (percents, PERCENTS),
     "trec_dedup": (trec_dedup, TREC_DEDUP),
     "hdr_eval": (hdr_eval, _hdr_sql()),
-    "hdr_eval_csim": (hdr_eval_csim, f"{_RUN}, truth AS (SELECT * FROM run), found AS (SELECT * FROM run) {_RATIO}"),
+    "hdr_eval_csim": (hdr_eval_csim, f"{_RUN}, truth AS (SELECT topic_id, rank, trunc((1.0::DOUBLE - {_CSIM}) * 64)::INT AS hd FROM run r JOIN embeddings a ON a.vec_id = topic_id JOIN embeddings b ON b.vec_id = r.doc_id), found AS (SELECT * FROM run) {_RATIO}"),
     "cosine_docsim": _cosine("none"),
     "cosine_docsim_porter": _cosine("porter"),
     "plag_votes": (plag_votes, f"{_VOTES} SELECT * FROM voted"),
@@ -259,8 +278,8 @@ RUNS: dict[str, Entry] = {
     "title_lookup": (titles, f"{_RUN} SELECT topic_id, doc_id, rank, coalesce(url, '(unknown)') AS title FROM run LEFT JOIN pages ON page_id = doc_id"),
     "link_lookup": (title_links, f"{_RUN} SELECT topic_id, rank, '<a href=\"wiki/' || doc_id || '\">' || doc_id || '</a>' AS value FROM run"),
     "topic2docname": (topic_names, f"{_RUN} SELECT coalesce(url, topic_id::VARCHAR) AS topic_id, doc_id, rank FROM run LEFT JOIN pages ON page_id = topic_id"),
-    "topic_sentences": (sentence_query, None),
-    "sentence_topics": (lambda s, d: sentence_topics(table(s, d, "benchmark").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), ". ").alias("value"))), None),
+    "topic_sentences": (sentence_query, SENTENCES),
+    "sentence_topics": (lambda s, d: sentence_topics(table(s, d, "benchmark").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), ". ").alias("value"))), SENTENCE_TOPICS),
     "col2csv": (
         lambda s, d: runs.zipped([table(s, d, "benchmark").agg(F.min_by("text", "item_id").alias("value")), table(s, d, "benchmark").agg(F.max_by("text", "item_id").alias("value"))]),
         """WITH ends AS (SELECT string_split_regex(trim(arg_min(text, item_id)), '\\s+') AS a, string_split_regex(trim(arg_max(text, item_id)), '\\s+') AS b FROM benchmark)
@@ -350,6 +369,17 @@ def error(spark: SparkSession, sf: str) -> DataFrame:
     return bands.error_rate(bands.classified(run, training, WIDE, 0.1), validation)
 
 
+ERROR = f"""{_PIXELS}, size AS (SELECT ceil(count(*) / {WIDE})::INT AS h FROM embeddings),
+strip AS (SELECT pixel, code, pixel // {WIDE} >= h // 4 AND pixel // {WIDE} < 2 * h // 4 AS inside FROM truth, size),
+training AS (SELECT pixel, CASE WHEN inside THEN 0 ELSE code END AS code FROM strip), {_VOTED.replace("JOIN truth t", "JOIN training t")}
+SELECT (count(*) FILTER (c.code IS DISTINCT FROM v.code))::BIGINT AS wrong, count(*) AS n, count(*) FILTER (c.code IS DISTINCT FROM v.code) / count(*) AS rate
+FROM strip v LEFT JOIN coded c USING (pixel) WHERE inside AND v.code <> 0"""
+PLOT = f"""WITH size AS (SELECT ceil(count(*) / {WIDE})::INT AS h FROM embeddings),
+grid AS (SELECT unnest(range({WIDE} * h)) AS pixel FROM size),
+lines AS (SELECT (pixel // {WIDE})::INT AS y, string_agg(least(greatest(coalesce(label, 0), 0), 255)::VARCHAR, ' ' ORDER BY pixel) AS value FROM grid LEFT JOIN embeddings ON vec_id = pixel GROUP BY 1)
+SELECT -1 AS y, 'P2 {WIDE} ' || h || chr(10) || '255' AS value FROM size UNION ALL SELECT y, value FROM lines"""
+
+
 def contrast(spark: SparkSession, sf: str) -> DataFrame:
     run, truth, _ = _pixels(spark, sf)
     return bands.contrast(run.groupBy("pixel").agg(F.max("hd").alias("hd")), truth, 1).select(*[F.round(c, 9).alias(c) for c in ("coded", "uncoded", "contrast")])
@@ -373,7 +403,7 @@ DOMAIN: dict[str, Entry] = {
     "landsat_signatures": (kernels, None),
     "landsat_classify": (classified, f"{_PIXELS}, {_VOTED} SELECT pixel, code FROM coded"),
     "landsat_smooth": (smoothed, SMOOTHED),
-    "landsat_error": (error, None),
+    "landsat_error": (error, ERROR),
     "landsat_contrast": (
         contrast,
         f"{_PIXELS}, far AS (SELECT topic_id AS pixel, max(hd) AS hd FROM run GROUP BY ALL), m AS (SELECT avg(hd) FILTER (code = 1) AS coded, avg(hd) FILTER (code <> 1) AS uncoded FROM truth JOIN far USING (pixel)) SELECT round(coded, 9) AS coded, round(uncoded, 9) AS uncoded, round(uncoded - coded, 9) AS contrast FROM m",
@@ -382,7 +412,7 @@ DOMAIN: dict[str, Entry] = {
         confident,
         f"{_PIXELS}, met AS (SELECT o.pixel, o.code, avg((t.code = o.code)::INT) AS s FROM truth o LEFT JOIN run r ON r.topic_id = o.pixel LEFT JOIN truth t ON t.pixel = r.doc_id AND t.code <> 0 GROUP BY ALL) SELECT pixel, code, CASE WHEN code = 0 THEN 0 ELSE coalesce(s, 0) END::DOUBLE AS confidence FROM met",
     ),
-    "landsat_plot": (pictured, None),
+    "landsat_plot": (pictured, PLOT),
 }
 
 QUERIES: dict[str, Entry] = TABLES | RUNS | DOMAIN
