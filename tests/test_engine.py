@@ -231,3 +231,24 @@ def test_streamed_append(spark, tmp_path):
     stream = spark.readStream.schema("doc_id string, text string").parquet(f"{tmp_path}/in")
     append(stream, f"{tmp_path}/out", f"{tmp_path}/check", Projection(width=64), available_now=True).awaitTermination(120)
     assert sorted(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b"]
+
+
+def test_names_are_clipped_and_suffixes_weigh(spark):
+    """Long names are cut off; a term like word:3 counts three times as much as without its number."""
+    rows = [("n" * 300, "apple pear"), ("short", "apple:3 pear:0.5 plum")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    p = Projection(width=64, method="MD5")
+    found = {r["doc_id"]: r for r in signatures.build(docs, p, mask="all", multiplier=True, longest_name=255).collect()}
+    assert found.keys() == {"n" * 255, "short"}
+    sums = sum(w * vectors([t], p)[0].astype(int) for t, w in (("apple", 3000), ("pear", 500), ("plum", 1000)))
+    assert found["short"]["w0"] & (2**64 - 1) == int("".join("1" if s > 0 else "0" for s in sums), 2)
+
+
+def test_slice_search_of_a_range_and_of_an_index(spark):
+    """Queries first to last only; posting lists give what signatures give."""
+    rows = [(i, i, (i * 0x9E3779B97F4A7C15) % 2**63) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_num long, doc_id long, w0 long")
+    all_ = {tuple(r) for r in slices.search(table, 5, 20, 8, 1).collect()}
+    some = {tuple(r) for r in slices.search(table, 5, 20, 8, 1, first=10, last=19).collect()}
+    assert some == {r for r in all_ if 10 <= r[0] <= 19} and len({r[0] for r in some}) == 10
+    assert {tuple(r) for r in slices.search(table, 5, 20, 8, 1, index=slices.build(table, 8)).collect()} == all_
