@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions.bits import pack, words
 from sigloom.functions.hashing import WORDS, Isaac
+from sigloom.session import cut
 
 WHOLE = 10_000_000
 _KEPT = 50_000
@@ -131,9 +132,9 @@ def _table(records: DataFrame, width: int, sums) -> DataFrame:  # noqa: ANN001
 
 
 class _Genome:
-    def __init__(self, sizes, width, starred, density, exclude, size, advance, mismatches, stats) -> None:  # noqa: ANN001
+    def __init__(self, sizes, width, starred, density, exclude, size, advance, mismatches) -> None:  # noqa: ANN001
         self.sizes, self.width, self.starred, self.density, self.exclude = sizes, width, starred, density, exclude
-        self.size, self.advance, self.mismatches, self.stats = size, advance, mismatches, stats
+        self.size, self.advance, self.mismatches = size, advance, mismatches
         self.kept: dict[str, np.ndarray] = {}
 
     def windows(self, residues: str) -> list[tuple[int, str]]:
@@ -148,15 +149,15 @@ class _Genome:
             self.kept.update(zip(part, uniform_vectors(part, self.width, self.density), strict=True))
         return np.stack([self.kept[t] for t in terms])
 
-    def bits(self, window: str) -> tuple[int, np.ndarray]:
-        """How many k-mers count, and where the weighted mean of their vectors is 1/2 at least."""
+    def bits(self, window: str, known: dict[str, int] | None = None, all_: int = 0) -> tuple[int, np.ndarray]:
+        """How many k-mers count, and where the weighted mean of their vectors is 1/2 at least; known: df of its k-mers, of ``all_`` in all."""
         total, mass, n = np.zeros(self.width), 0.0, 0
         used: set[str] = set()
         for k in self.sizes:
             for kmer in kmers(window, [k], self.exclude):
                 weight = 1.0
-                if self.stats is not None and (df := self.stats.value[1].get(kmer)):
-                    ll = np.log(self.stats.value[0] / df / max(1, len(window) - k))
+                if known and (df := known.get(kmer)):
+                    ll = np.log(all_ / df / max(1, len(window) - k))
                     if ll > 0:
                         weight = ll - (0.0 if kmer in used else 0.5)
                         used.add(kmer)
@@ -174,14 +175,37 @@ def genome_signatures(
 ) -> DataFrame:
     """(doc_id, seg, kmers, offset_begin, offset_end, words): bits where the weighted mean of uniform vectors is 1/2 at least.
 
-    With ``stats`` k-mers weigh their log-likelihood, where it is positive; the vocabulary of k-mers, which 4**k bounds, is broadcast.
+    With ``stats`` k-mers weigh their log-likelihood, where it is positive; they meet their statistics by a join, whatever their number.
     Windows without k-mers have no row.
     """
-    shared = None
-    if stats is not None:
-        total = stats.agg(F.coalesce(F.sum("ctf"), F.lit(0))).first()[0]
-        shared = records.sparkSession.sparkContext.broadcast((total, {r["term"]: r["df"] for r in stats.toLocalIterator()}))
-    return _table(records, width, _Genome(sizes or [6], width, starred, density, exclude, size, advance, mismatches, shared))
+    sums = _Genome(sizes or [6], width, starred, density, exclude, size, advance, mismatches)
+    if stats is None:
+        return _table(records, width, sums)
+    total = int(stats.agg(F.coalesce(F.sum("ctf"), F.lit(0))).first()[0])
+    kind, names = dict(records.dtypes)["doc_id"], words(width)
+
+    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(d, seg, at, w, sorted(set(kmers(w, sums.sizes, exclude)))) for d, r in zip(pdf["doc_id"], pdf["residues"], strict=True) for seg, (at, w) in enumerate(sums.windows(r or ""))]
+            yield pd.DataFrame(rows, columns=["doc_id", "seg", "at", "window", "terms"])
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [sums.bits(r.window, {x["term"]: x["df"] for x in r.known} if r.known is not None else None, total) for r in pdf.itertuples(index=False)]
+            kept = np.flatnonzero([n for n, _ in found])
+            packed = pack(np.stack([found[i][1] for i in kept])) if len(kept) else np.zeros((0, len(names)), dtype=np.int64)
+            out = pdf.iloc[kept].reset_index(drop=True)
+            ends = out["at"] + out["window"].str.len() if len(out) else out["at"]
+            rows = pd.DataFrame({"doc_id": out["doc_id"], "seg": out["seg"], "kmers": [found[i][0] for i in kept], "offset_begin": out["at"], "offset_end": ends})
+            yield rows.assign(**{n: packed[:, i] for i, n in enumerate(names)})
+
+    given = records.select("doc_id", "residues").mapInPandas(cover, f"doc_id {kind}, seg int, at int, window string, terms array<string>")
+    given = cut(given.withColumn("uid", F.monotonically_increasing_id()), "windows")
+    each = given.select("uid", F.explode("terms").alias("term")).join(stats.select("term", "df"), "term")
+    known = each.groupBy("uid").agg(F.collect_list(F.struct("term", "df")).alias("known"))
+    met = given.join(known, "uid", "left").select("doc_id", "seg", "at", "window", "known")
+    columns = ", ".join(f"{n} long" for n in names)
+    return met.mapInPandas(weigh, f"doc_id {kind}, seg int, kmers int, offset_begin int, offset_end int, {columns}")
 
 
 def position_shuffles(k: int, width: int, rng: int = 64) -> np.ndarray:

@@ -178,6 +178,15 @@ def test_sequences(spark):
     records = spark.createDataFrame([("s", "ACGTACGTAA"), ("t", "XX"), ("u", None)], "doc_id string, residues string")
     found = sequences.genome_signatures(records, [3], 64, size=5, advance=3).collect()
     assert [(r["doc_id"], r["seg"], r["offset_begin"]) for r in found] == [("s", 0, 0), ("s", 1, 3), ("s", 2, 5)]
+    stats = sequences.kmer_stats(records, [3], size=5, advance=3)
+    known, one = {r["term"]: r["df"] for r in stats.collect()}, sequences._Genome([3], 64, 1, 0.5, "X", 5, 3, None)
+    total = sum(r["ctf"] for r in stats.collect())
+    rows = sequences.genome_signatures(records, [3], 64, 1, 0.5, size=5, advance=3, stats=stats).orderBy("seg").collect()
+    wanted = [(0, 5), (3, 8), (5, 10)]
+    assert [(r["offset_begin"], r["offset_end"]) for r in rows] == wanted
+    for r, (a, b) in zip(rows, wanted, strict=True):
+        n, bits = one.bits("ACGTACGTAA"[a:b], known, total)
+        assert r["kmers"] == n and r["w0"] & (2**64 - 1) == int("".join("1" if x else "0" for x in bits), 2)
 
 
 def test_bands(spark):
