@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.names import fresh
@@ -180,16 +180,17 @@ def by_prefixes(nodes: DataFrame, texts: DataFrame, roots: DataFrame, shingle: i
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the least node of its component.
 
-    Alternating large and small stars: each round is two shuffles of the edges; rounds grow with the logarithm of the longest chain.
+    Alternating large and small stars: each round is a few shuffles of the edges; rounds grow with the logarithm of the longest chain. A
+    node's least neighbour is found combined and joined, as in _stars().
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     last = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-        large = both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
-        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        large = cut(large.where("a != b").distinct(), "large")
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = cut(small.select("e.*").where("a != b").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -199,6 +200,18 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _stars(buckets: DataFrame) -> DataFrame:
+    """(band, a, b) of buckets (head, band): a is one of the band, that of least hash, b each other one.
+
+    The least are found combined, and joined, so that a band which a third of all documents share is divided like any other.
+    """
+    rows = buckets.select("band", "head", F.xxhash64("head").alias("hash"))
+    least = rows.groupBy("band").agg(F.min("hash").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = cut(rows.join(least, "band"), "buckets")
+    first = met.where("hash = least").groupBy("band").agg(F.min("head").alias("a"))
+    return met.join(first, "band").where("head != a").select("band", "a", F.col("head").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, t: int = COORDINATES, rows: int = ROWS
 ) -> DataFrame:
@@ -212,9 +225,7 @@ def near_duplicates(
     node = F.struct("doc_id", "rid")
     heads = marks.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rid", "bands")).alias("m"))
     heads = heads.select("h1", "h2", F.struct("m.doc_id", "m.rid").alias("head"), "m.bands")
-    buckets = heads.select("head", F.explode("bands").alias("band"))
-    first = F.min("head").over(Window.partitionBy("band"))
-    stars = cut(buckets.select("band", first.alias("a"), F.col("head").alias("b")).where("a != b"), "stars")
+    stars = cut(_stars(heads.select("head", F.explode("bands").alias("band"))), "stars")
     texts = cut(texts_of(stars.select(F.explode(F.array("a", "b")).alias("node")), docs), "texts")
     left, edges = stars, None
     for turn in range(LEADERS):
@@ -222,7 +233,7 @@ def near_duplicates(
         found = near.where("same").select("a", "b")
         edges = found if edges is None else edges.union(found)
         apart = cut(left.join(near.where("not same").select("a", "b"), ["a", "b"], "left_semi").select("band", F.col("b").alias("x")), "apart")
-        left = apart.select("band", F.min("x").over(Window.partitionBy("band")).alias("a"), F.col("x").alias("b")).where("a != b")
+        left = _stars(apart.select(F.col("x").alias("head"), "band"))
         if turn == 0:
             contested = apart
     if contested.take(1):
