@@ -102,36 +102,49 @@ def cosine_pairs(terms: DataFrame, every: int | None = None) -> DataFrame:
     return dots.join(na, "a").join(nb, "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
 
 
-def source_votes(run: DataFrame, res_threshold: int = 8, share: float = 0.02, run_length: int = 0, run_rank: int = 100) -> DataFrame:
+def _by_text(df: DataFrame, text: str | None) -> DataFrame:
+    """df with the column ``__text``, which tells texts apart; all rows are of one without it."""
+    return df.withColumn("__text", F.lit(0) if text is None else F.col(text))
+
+
+def source_votes(run: DataFrame, res_threshold: int = 8, share: float = 0.02, run_length: int = 0, run_rank: int = 100, text: str | None = None) -> DataFrame:
     """(doc_id, votes, longest, source): how often a document is among the first res_threshold, in how many topics in a row it is among the
-    first run_rank, and whether both are enough for a source of copies. Topics are one text's sentences, by their offsets (topic_num)."""
-    places = run.select("topic_num").distinct().withColumn("place", F.row_number().over(Window.orderBy("topic_num")))  # of one text
-    votes = run.groupBy("doc_id").agg(F.sum((F.col("rank") <= res_threshold).cast("int")).alias("votes"))
-    total = votes.agg(F.coalesce(F.sum("votes"), F.lit(0)).alias("total"))
-    seen = run.where(F.col("rank") <= run_rank).select("topic_num", "doc_id").distinct().join(F.broadcast(places), "topic_num")
-    island = F.col("place") - F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))
-    runs = seen.withColumn("island", island).groupBy("doc_id", "island").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.max("n").alias("longest"))
-    met = votes.join(runs, "doc_id", "left").crossJoin(F.broadcast(total)).withColumn("longest", F.coalesce("longest", F.lit(0)))
+    first run_rank, and whether both are enough for a source of copies. Topics are one text's sentences, by their offsets (topic_num); with
+    ``text``, a column of run, of each of its texts, and the result has it too."""
+    run, key = _by_text(run, text), ["__text", "doc_id"]
+    order = Window.partitionBy("__text").orderBy("topic_num")
+    places = run.select("__text", "topic_num").distinct().withColumn("place", F.row_number().over(order))
+    votes = run.groupBy(*key).agg(F.sum((F.col("rank") <= res_threshold).cast("int")).alias("votes"))
+    total = votes.groupBy("__text").agg(F.sum("votes").alias("total"))
+    seen = run.where(F.col("rank") <= run_rank).select("topic_num", *key).distinct().join(places, ["__text", "topic_num"])
+    island = F.col("place") - F.row_number().over(Window.partitionBy(*key).orderBy("place"))
+    runs = seen.withColumn("island", island).groupBy(*key, "island").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max("n").alias("longest"))
+    met = votes.join(runs, key, "left").join(total, "__text").withColumn("longest", F.coalesce("longest", F.lit(0)))
     enough = (F.col("votes") >= F.col("total") * share) & (F.col("longest") >= run_length)
-    return met.select("doc_id", "votes", "longest", enough.alias("source"))
+    return met.select(*([] if text is None else [F.col("__text").alias(text)]), "doc_id", "votes", "longest", enough.alias("source"))
 
 
-def copied_spans(run: DataFrame, votes: DataFrame, vote_threshold: int = 8) -> DataFrame:
+def copied_spans(run: DataFrame, votes: DataFrame, vote_threshold: int = 8, text: str | None = None) -> DataFrame:
     """(source, begin, length, source_begin, source_length): neighbouring sentences whose first source among vote_threshold results is the same.
 
-    Sentences without a source don't part neighbours. A sentence reaches to the next one; the last has no length.
+    Sentences without a source don't part neighbours. A sentence reaches to the next one; the last has no length. text as of source_votes().
     """
-    texts = run.select("topic_num").distinct().withColumn("next", F.lead("topic_num").over(Window.orderBy("topic_num")))  # of one text
-    named = run.where(F.col("rank") <= vote_threshold).join(votes.where("source").select("doc_id"), "doc_id", "left_semi")
-    first = named.groupBy("topic_num").agg(F.min(F.struct("rank", "doc_id", "offset_begin", "offset_end")).alias("m"))
-    rows = first.join(texts, "topic_num").select("topic_num", F.coalesce("next", "topic_num").alias("upto"), "m.doc_id", "m.offset_begin", "m.offset_end")
-    order = Window.orderBy("topic_num")
+    run, votes = _by_text(run, text), _by_text(votes, text)
+    order = Window.partitionBy("__text").orderBy("topic_num")
+    texts = run.select("__text", "topic_num").distinct().withColumn("next", F.lead("topic_num").over(order))
+    named = run.where(F.col("rank") <= vote_threshold).join(votes.where("source").select("__text", "doc_id"), ["__text", "doc_id"], "left_semi")
+    first = named.groupBy("__text", "topic_num").agg(F.min(F.struct("rank", "doc_id", "offset_begin", "offset_end")).alias("m"))
+    rows = first.join(texts, ["__text", "topic_num"])
+    rows = rows.select("__text", "topic_num", F.coalesce("next", "topic_num").alias("upto"), "m.doc_id", "m.offset_begin", "m.offset_end")
     new = (F.lag("doc_id").over(order).eqNullSafe(F.col("doc_id"))).cast("int")
     groups = rows.withColumn("new", 1 - new).withColumn("span", F.sum("new").over(order))
-    spans = groups.groupBy("span", "doc_id").agg(
+    spans = groups.groupBy("__text", "span", "doc_id").agg(
         F.min("topic_num").alias("begin"), F.max("upto").alias("upto"), F.min("offset_begin").alias("sb"), F.max("offset_end").alias("se")
     )
-    return spans.select(F.col("doc_id").alias("source"), "begin", (F.col("upto") - F.col("begin")).alias("length"), F.col("sb").alias("source_begin"), (F.col("se") - F.col("sb")).alias("source_length"))
+    return spans.select(
+        *([] if text is None else [F.col("__text").alias(text)]), F.col("doc_id").alias("source"), "begin", (F.col("upto") - F.col("begin")).alias("length"),
+        F.col("sb").alias("source_begin"), (F.col("se") - F.col("sb")).alias("source_length"),
+    )
 
 
 def span_lines(spans: DataFrame) -> DataFrame:

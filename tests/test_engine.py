@@ -261,3 +261,19 @@ def test_slice_search_of_a_range_and_of_an_index(spark):
     some = {tuple(r) for r in slices.search(table, 5, 20, 8, 1, first=10, last=19).collect()}
     assert some == {r for r in all_ if 10 <= r[0] <= 19} and len({r[0] for r in some}) == 10
     assert {tuple(r) for r in slices.search(table, 5, 20, 8, 1, index=slices.build(table, 8)).collect()} == all_
+
+
+def test_copies_of_several_texts(spark):
+    """Texts that are looked at together give what each gives alone."""
+    rows = [(t, n * 10, f"d{(n * (t + 1)) % 3}", 1, n * 7, n * 7 + 5) for t in range(3) for n in range(8)]
+    rows += [(t, n * 10, f"d{n % 2}", 2, n, n + 3) for t in range(3) for n in range(8)]
+    run = spark.createDataFrame(rows, "text int, topic_num int, doc_id string, rank int, offset_begin int, offset_end int")
+    votes = runs.source_votes(run, 1, 0.3, 2, text="text")
+    spans = runs.copied_spans(run, votes, 1, text="text")
+    for t in range(3):
+        own = run.where(F.col("text") == t)
+        alone = runs.source_votes(own, 1, 0.3, 2)
+        assert sorted(map(tuple, votes.where(F.col("text") == t).drop("text").collect())) == sorted(map(tuple, alone.collect()))
+        wanted = sorted(map(tuple, runs.copied_spans(own, alone, 1).collect()))
+        assert sorted(map(tuple, spans.where(F.col("text") == t).drop("text").collect())) == wanted
+    assert spans.count() > 3
