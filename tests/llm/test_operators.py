@@ -238,6 +238,49 @@ def test_passages_within_sentences_go(spark):
             assert len(row) == 120 + left
 
 
+def brute_extended(texts):
+    """What is deleted of each text, by the numbers of its words: fingerprints that an earlier one equals, with the words beside them that equal those beside any earlier one."""
+    k, more = line_dedup.MIN_WORDS, line_dedup.SPAN - 1
+    seen, gone = set(), []
+    for text in texts:
+        words = [t.strip(" \t\n\r") for t in line_dedup.tokens_of(text)]
+        gone.append(set())
+        for i in sorted(line_dedup.fingerprints([text.encode()])[1]):
+            left = {a: tuple(words[a : i + k]) for a in range(max(0, i - more), i + 1)}
+            right = {e: tuple(words[i:e]) for e in range(i + k, min(len(words), i + k + more) + 1)}
+            if ("right", right[i + k]) in seen:
+                begin, end = min(a for a, x in left.items() if ("left", x) in seen), max(e for e, x in right.items() if ("right", x) in seen)
+                gone[-1] |= set(range(begin, end))
+            seen |= {("left", x) for x in left.values()} | {("right", x) for x in right.values()}
+    return gone
+
+
+def test_extended_repeats_match_brute_force(spark):
+    for texts in (odd_lines(), [r["text"] for r in table(spark, SMALL, "documents").orderBy("doc_id").collect()]):
+        docs = frame(spark, texts)
+        wanted = brute_extended(texts)
+        for d in (docs, docs.union(docs).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id"))).repartition(7)):
+            rows = line_dedup.extended(d).collect()
+            assert {r["doc_id"] or 0: {i for x in r["runs"] for i in range(x["s"], x["e"] + 1)} for r in rows} == {i: x for i, x in enumerate(wanted) if x}
+        found = {r["doc_id"]: r["words_removed"] for r in line_dedup.drop_repeats(docs, extend=True).collect()}
+        assert found == {i: len(x) for i, x in enumerate(wanted)}
+        assert sum(found.values()) > sum(r["words_removed"] for r in line_dedup.drop_repeats(docs).collect())
+    assert line_dedup.drop_repeats(docs.limit(0), extend=True).collect() == []
+
+
+def test_extended_repeats_leave_no_word(spark):
+    """A passage of 51 words goes to its last word, also where the first line like one of its own stands in another text."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(4, 9)))
+    for _ in range(3):
+        passage, own = [word() for _ in range(51)], lambda: [word() for _ in range(40)]
+        texts = [" ".join(own() + passage[at : at + line_dedup.MIN_WORDS] + own()) for at in range(27)]
+        texts += [" ".join(own() + passage + own()) for _ in range(3)]
+        rows = line_dedup.drop_repeats(frame(spark, texts), extend=True).orderBy("doc_id").collect()
+        for row in rows[-2:]:
+            assert not set(passage) & set(row["text"].split()) and row["words_removed"] == 51
+
+
 # ---- BPE ----
 
 
