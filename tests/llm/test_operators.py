@@ -681,3 +681,11 @@ def test_pipeline_matches_its_parts(spark):
     assert mixed.count() == mixing.schedule(near).count()
     out = corpus_pipeline.run(spark, SMALL).collect()
     assert all(r["exact"] for r in out) and abs(len(out) - mixed.count()) <= 0
+
+
+def test_pipeline_lines_extended(spark):
+    """The line stage with extension: of later copies nothing is left, n_chars follows, and a document that is a copy goes."""
+    passage = [f"w{i}" for i in range(60)]
+    texts = ["a b " + " ".join(passage) + " c d", "e f " + " ".join(passage) + " g h", " ".join(passage), "i j k"]
+    rows = corpus_pipeline.lines(spark, frame(spark, texts), SMALL, extend=True).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["text"], r["n_chars"]) for r in rows] == [(0, texts[0], len(texts[0])), (1, "e f g h", 7), (3, "i j k", 5)]
