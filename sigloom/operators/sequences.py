@@ -5,6 +5,8 @@ Records are (doc_id, residues). A record is covered by windows, each of which is
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,6 +21,8 @@ from sigloom.session import cut
 
 WHOLE = 10_000_000
 _KEPT = 50_000
+#: Numbers that are added up at once, and variants whose vectors are made at once.
+_NUMBERS, _VARIANTS = 4_000_000, 4096
 
 
 def parse_fasta(text: str) -> list[tuple[str, str]]:
@@ -96,18 +100,29 @@ def uniform_vectors(terms: list[str], width: int, density: float = 1.0, rng: int
     return out
 
 
+def _shared(records: DataFrame, *columns: str) -> DataFrame:
+    """Columns of records, dealt over all cores: a small file is one task, but a residue takes far longer to work on than to move."""
+    spark = records.sparkSession
+    return records.select(*columns).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def kmer_stats(records: DataFrame, sizes: list[int], exclude: str = "X", size: int = WHOLE, advance: int = WHOLE) -> DataFrame:
     """(term, df, ctf) of the k-mers of all windows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [pd.Series(kmers(w, sizes, exclude)).value_counts() for r in pdf["residues"] for _, w in windows(r or "", size, advance)]
-            rows = [r for r in rows if len(r)]
-            if rows:
-                yield pd.concat([pd.DataFrame({"term": r.index, "n": r.to_numpy()}) for r in rows])
+            df: Counter[str] = Counter()
+            ctf: Counter[str] = Counter()
+            for r in pdf["residues"]:
+                for _, w in windows(r or "", size, advance):
+                    found = kmers(w, sizes, exclude)
+                    df.update(set(found))
+                    ctf.update(found)
+            if df:
+                yield pd.DataFrame({"term": list(df), "d": list(df.values()), "n": [ctf[t] for t in df]})
 
-    found = records.select("residues").mapInPandas(run, "term string, n long")
-    return found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("ctf"))
+    found = _shared(records, "residues").mapInPandas(run, "term string, d long, n long")
+    return found.groupBy("term").agg(F.sum("d").alias("df"), F.sum("n").alias("ctf"))
 
 
 def _table(records: DataFrame, width: int, sums) -> DataFrame:  # noqa: ANN001
@@ -115,20 +130,16 @@ def _table(records: DataFrame, width: int, sums) -> DataFrame:  # noqa: ANN001
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows, bits = [], []
-            for doc, residues in zip(pdf["doc_id"], pdf["residues"], strict=True):
-                for seg, (at, window) in enumerate(sums.windows(residues or "")):
-                    n, row = sums.bits(window)
-                    if n:
-                        rows.append((doc, seg, n, at, at + len(window)))
-                        bits.append(row)
-            out = pd.DataFrame(rows, columns=["doc_id", "seg", "kmers", "offset_begin", "offset_end"])
-            packed = pack(np.stack(bits)) if bits else np.zeros((0, len(names)), dtype=np.int64)
-            yield out.assign(**{n: packed[:, i] for i, n in enumerate(names)})
+            rows = [(doc, seg, 0, at, at + len(w), w) for doc, residues in zip(pdf["doc_id"], pdf["residues"], strict=True) for seg, (at, w) in enumerate(sums.windows(residues or ""))]
+            counts, bits = sums.batch([r[-1] for r in rows])
+            kept = counts > 0
+            out = pd.DataFrame(rows, columns=["doc_id", "seg", "kmers", "offset_begin", "offset_end", "window"]).drop(columns="window").assign(kmers=counts)
+            packed = pack(bits) if len(bits) else np.zeros((0, len(names)), dtype=np.int64)
+            yield out.assign(**{n: packed[:, i] for i, n in enumerate(names)})[kept]
 
     kind = dict(records.dtypes)["doc_id"]
     columns = ", ".join(f"{n} long" for n in names)
-    return records.select("doc_id", "residues").mapInPandas(run, f"doc_id {kind}, seg int, kmers int, offset_begin int, offset_end int, {columns}")
+    return _shared(records, "doc_id", "residues").mapInPandas(run, f"doc_id {kind}, seg int, kmers int, offset_begin int, offset_end int, {columns}")
 
 
 class _Genome:
@@ -136,6 +147,7 @@ class _Genome:
         self.sizes, self.width, self.starred, self.density, self.exclude = sizes, width, starred, density, exclude
         self.size, self.advance, self.mismatches = size, advance, mismatches
         self.kept: dict[str, np.ndarray] = {}
+        self.sums: dict[str, tuple[np.ndarray, float]] = {}
 
     def windows(self, residues: str) -> list[tuple[int, str]]:
         return windows(residues, self.size, self.advance)
@@ -149,24 +161,75 @@ class _Genome:
             self.kept.update(zip(part, uniform_vectors(part, self.width, self.density), strict=True))
         return np.stack([self.kept[t] for t in terms])
 
-    def bits(self, window: str, known: dict[str, int] | None = None, all_: int = 0) -> tuple[int, np.ndarray]:
-        """How many k-mers count, and where the weighted mean of their vectors is 1/2 at least; known: df of its k-mers, of ``all_`` in all."""
-        total, mass, n = np.zeros(self.width), 0.0, 0
-        used: set[str] = set()
-        for k in self.sizes:
-            for kmer in kmers(window, [k], self.exclude):
-                weight = 1.0
-                if known and (df := known.get(kmer)):
-                    ll = np.log(all_ / df / max(1, len(window) - k))
+    def summed(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each k-mer the weighted sum of its variants' vectors, and their weights' sum."""
+        if len(self.sums) > _KEPT:
+            self.sums = {}
+        open_: list[tuple[str, list[tuple[str, float]]]] = []
+        size = 0
+
+        def close() -> None:
+            if open_:
+                w = np.array([x for _, each in open_ for _, x in each])
+                first = np.cumsum([0, *(len(each) for _, each in open_[:-1])])
+                total = np.add.reduceat(self.vectors([t for _, each in open_ for t, _ in each]) * w[:, None], first, axis=0)
+                self.sums.update((t, (v, m)) for (t, _), v, m in zip(open_, total, np.add.reduceat(w, first), strict=True))
+                open_.clear()
+
+        for t in dict.fromkeys(t for t in terms if t not in self.sums):
+            open_.append((t, variants(t, self.starred, self.mismatches)))
+            size += len(open_[-1][1])
+            if size > _VARIANTS:
+                close()
+                size = 0
+        close()
+        found = [self.sums[t] for t in terms]
+        return np.stack([v for v, _ in found]), np.array([m for _, m in found])
+
+    def batch(self, windows: list[str], known: list[dict[str, int] | None] | None = None, all_: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """How many k-mers of each window count, and where the weighted mean of their vectors is 1/2 at least; known: df of a window's k-mers, of ``all_`` in all.
+
+        A k-mer that is known and rarer than expected weighs its log-likelihood each time, less 1/2 the first time.
+        """
+        n = np.zeros(len(windows), dtype=np.int64)
+        total, mass = np.zeros((len(windows), self.width)), np.zeros(len(windows))
+        terms: list[str] = []
+        at: list[int] = []
+        weights: list[float] = []
+        most = max(1, _NUMBERS // self.width)
+
+        def add() -> None:
+            if not terms:
+                return
+            distinct = dict.fromkeys(terms)
+            distinct.update(zip(distinct, range(len(distinct)), strict=True))
+            sums, masses = self.summed(list(distinct))
+            which, w, rows = np.array([distinct[t] for t in terms]), np.array(weights), np.array(at)
+            first = np.flatnonzero(np.concatenate([[True], np.diff(rows) != 0]))
+            total[rows[first]] += np.add.reduceat(sums[which] * w[:, None], first, axis=0)
+            mass[rows[first]] += np.add.reduceat(masses[which] * w, first) * self.density
+            terms.clear(), at.clear(), weights.clear()
+
+        for i, window in enumerate(windows):
+            own = known[i] if known else None
+            for kmer, count in Counter(kmers(window, self.sizes, self.exclude)).items():
+                weight = float(count)
+                if own and (df := own.get(kmer)):
+                    ll = math.log(all_ / df / max(1, len(window) - len(kmer)))
                     if ll > 0:
-                        weight = ll - (0.0 if kmer in used else 0.5)
-                        used.add(kmer)
-                each = variants(kmer, self.starred, self.mismatches)
-                w = np.array([x * weight for _, x in each])
-                total += w @ self.vectors([t for t, _ in each])
-                mass += w.sum() * self.density
-                n += 1
-        return n, total / mass >= 0.5 if mass else np.zeros(self.width, dtype=bool)
+                        weight = ll * count - 0.5
+                n[i] += count
+                terms.append(kmer), at.append(i), weights.append(weight)
+                if len(terms) >= most:
+                    add()
+        add()
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return n, (total / mass[:, None] >= 0.5) & (mass != 0)[:, None]
+
+    def bits(self, window: str, known: dict[str, int] | None = None, all_: int = 0) -> tuple[int, np.ndarray]:
+        """batch() of one window."""
+        n, bits = self.batch([window], [known], all_)
+        return int(n[0]), bits[0]
 
 
 def genome_signatures(
@@ -181,6 +244,7 @@ def genome_signatures(
     sums = _Genome(sizes or [6], width, starred, density, exclude, size, advance, mismatches)
     if stats is None:
         return _table(records, width, sums)
+    stats = cut(stats.select("term", "df", "ctf"), "kmers")
     total = int(stats.agg(F.coalesce(F.sum("ctf"), F.lit(0))).first()[0])
     kind, names = dict(records.dtypes)["doc_id"], words(width)
 
@@ -191,19 +255,20 @@ def genome_signatures(
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [sums.bits(r.window, {x["term"]: x["df"] for x in r.known} if r.known is not None else None, total) for r in pdf.itertuples(index=False)]
-            kept = np.flatnonzero([n for n, _ in found])
-            packed = pack(np.stack([found[i][1] for i in kept])) if len(kept) else np.zeros((0, len(names)), dtype=np.int64)
+            known = [dict(zip(t, d, strict=True)) if t is not None else None for t, d in zip(pdf["known"], pdf["dfs"], strict=True)]
+            counts, bits = sums.batch(list(pdf["window"]), known, total)
+            kept = np.flatnonzero(counts)
+            packed = pack(bits[kept]) if len(kept) else np.zeros((0, len(names)), dtype=np.int64)
             out = pdf.iloc[kept].reset_index(drop=True)
             ends = out["at"] + out["window"].str.len() if len(out) else out["at"]
-            rows = pd.DataFrame({"doc_id": out["doc_id"], "seg": out["seg"], "kmers": [found[i][0] for i in kept], "offset_begin": out["at"], "offset_end": ends})
+            rows = pd.DataFrame({"doc_id": out["doc_id"], "seg": out["seg"], "kmers": counts[kept], "offset_begin": out["at"], "offset_end": ends})
             yield rows.assign(**{n: packed[:, i] for i, n in enumerate(names)})
 
-    given = records.select("doc_id", "residues").mapInPandas(cover, f"doc_id {kind}, seg int, at int, window string, terms array<string>")
+    given = _shared(records, "doc_id", "residues").mapInPandas(cover, f"doc_id {kind}, seg int, at int, window string, terms array<string>")
     given = cut(given.withColumn("uid", F.monotonically_increasing_id()), "windows")
     each = given.select("uid", F.explode("terms").alias("term")).join(stats.select("term", "df"), "term")
     known = each.groupBy("uid").agg(F.collect_list(F.struct("term", "df")).alias("known"))
-    met = given.join(known, "uid", "left").select("doc_id", "seg", "at", "window", "known")
+    met = given.join(known, "uid", "left").select("doc_id", "seg", "at", "window", F.col("known.term").alias("known"), F.col("known.df").alias("dfs"))
     columns = ", ".join(f"{n} long" for n in names)
     return met.mapInPandas(weigh, f"doc_id {kind}, seg int, kmers int, offset_begin int, offset_end int, {columns}")
 
@@ -239,6 +304,11 @@ class _Protein:
                     total += self.moved[c][i]
         return len(found), total > 0
 
+    def batch(self, windows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """bits() of each window."""
+        found = [self.bits(w) for w in windows]
+        return np.array([n for n, _ in found], dtype=np.int64), np.stack([b for _, b in found]) if found else np.zeros((0, self.width), dtype=bool)
+
 
 def protein_signatures(records: DataFrame, residues: dict[str, list[int]], k: int = 6, exclude: str = "X", size: int = WHOLE, advance: int = WHOLE) -> DataFrame:
     """As genome_signatures(), from given vectors of single residues; their length is the width."""
