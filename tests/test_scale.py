@@ -6,11 +6,16 @@ import math
 
 import numpy as np
 
-from sigloom.operators import sequences
+from sigloom.operators import runs, sequences
 
 SMALL = "/root/testdata/sf0.001"
 
 
+def plan(df):
+    """The physical plan as text."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_kmers_of_many_windows_are_added_up_at_once(spark):
     """Weights of repeated, known and unknown k-mers as a loop over each place gives them; a small file is dealt over all cores."""
     one = sequences._Genome([3, 4], 64, 1, 1.0, "X", 50, 50, {"A": "C"})
@@ -30,3 +35,17 @@ def test_kmers_of_many_windows_are_added_up_at_once(spark):
     records = spark.createDataFrame([(i, "ACGTACGT") for i in range(64)], "doc_id int, residues string").coalesce(1)
     assert sequences.genome_signatures(records, [3], 64).rdd.getNumPartitions() >= 4
     assert [tuple(r) for r in sequences.kmer_stats(records, [8]).collect()] == [("ACGTACGT", 64, 64)]
+
+
+def test_cosines_meet_in_blocks(spark, monkeypatch):
+    """Pairs of string ids over several small blocks, as by brute force; no row of a pair is joined or grouped."""
+    monkeypatch.setattr(runs, "DOCS", 7)
+    monkeypatch.setattr(runs, "ASKED", 3)
+    rng = np.random.default_rng(5)
+    tf = {f"d{i}": {f"t{t}": int(c) for t, c in zip(rng.integers(0, 60, 6), rng.integers(1, 9, 6), strict=True)} | ({"all": 2} if i % 3 else {}) for i in range(40)}
+    terms = spark.createDataFrame([(d, t, c) for d, x in tf.items() for t, c in x.items()] + [(None, "all", 1)], "doc_id string, term string, cnt long")
+    norm = {d: math.sqrt(sum(c * c for c in x.values())) for d, x in tf.items()}
+    wanted = {(a, b): sum(c * tf[b][t] for t, c in x.items() if t in tf[b]) / (norm[a] * norm[b]) for a, x in tf.items() for b in tf if a < b and x.keys() & tf[b].keys()}
+    found = runs.cosine_pairs(terms)
+    assert {(r["a"], r["b"]): r["cosine"] for r in found.collect()} == wanted
+    assert "Join" not in plan(found) and "Aggregate" not in plan(found)
