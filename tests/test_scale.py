@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 
-from sigloom.operators import runs, sequences
+from sigloom.operators import runs, search, sequences
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -49,3 +50,16 @@ def test_cosines_meet_in_blocks(spark, monkeypatch):
     found = runs.cosine_pairs(terms)
     assert {(r["a"], r["b"]): r["cosine"] for r in found.collect()} == wanted
     assert "Join" not in plan(found) and "Aggregate" not in plan(found)
+
+
+def test_pairs_come_tile_by_tile(spark, monkeypatch):
+    """All pairs of sparse numbers and two words, as by brute force; a written file repeats a few numbers b for each a, and nothing is broadcast."""
+    monkeypatch.setattr(search, "TILE", 8)
+    rng = np.random.default_rng(6)
+    rows = [(int(i) * 1000, *(int(x) for x in rng.integers(-(2**63), 2**63, 2))) for i in rng.permutation(45)]
+    found = search.pairs(spark.createDataFrame(rows, "doc_num long, w0 long, w1 long"))
+    bits = {i: (a % 2**64) << 64 | b % 2**64 for i, a, b in rows}
+    assert sorted(tuple(r) for r in found.collect()) == sorted((a, b, (bits[a] ^ bits[b]).bit_count()) for a in bits for b in bits if a < b)
+    assert "Broadcast" not in plan(found)
+    runs_ = [key for part in found.select("a", "b").rdd.glom().collect() for key, _ in itertools.groupby((r["a"], r["b"] // 8000) for r in part)]
+    assert len(runs_) == len(set(runs_))
