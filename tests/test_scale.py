@@ -6,11 +6,10 @@ import itertools
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sigloom.operators import runs, search, sequences
 
-SMALL = "/root/testdata/sf0.001"
-
 
 def plan(df):
     """The physical plan as text."""
@@ -63,3 +62,26 @@ def test_pairs_come_tile_by_tile(spark, monkeypatch):
     assert "Broadcast" not in plan(found)
     runs_ = [key for part in found.select("a", "b").rdd.glom().collect() for key, _ in itertools.groupby((r["a"], r["b"] // 8000) for r in part)]
     assert len(runs_) == len(set(runs_))
+
+
+def test_nearest_holds_the_best_of_each_query(spark):
+    """Over many small blocks, with ties, masks and groups, few queries and many, as by brute force; with many no pair is ranked outside of its task."""
+    rng = np.random.default_rng(7)
+    made = [(f"s{i:03}", int(rng.integers(0, 3)), f"g{rng.integers(0, 40)}" if i % 9 else None, *(int(x) for x in rng.integers(0, 4, 2))) for i in range(150)]
+    table = spark.createDataFrame(made, "id string, worth int, g string, w0 long, w1 long")
+    for n, mask in ((90, False), (3, True)):
+        asked = [(i, *(int(x) for x in rng.integers(0, 4, 2)), *((1, 2) if mask else ())) for i in range(n)]
+        queries = spark.createDataFrame(asked, "q int, w0 long, w1 long" + (", m0 long, m1 long" if mask else ""))
+        for group in (None, "g"):
+            found = search.nearest(queries, table, "q", "id", 6, [-F.col("worth")], group, block=8)
+            wanted = set()
+            for q, a, b, *m in asked:
+                rows, seen = [], set()
+                for d, _, name, g in sorted((((a ^ w0) & (m or [-1, -1])[0]).bit_count() + ((b ^ w1) & (m or [-1, -1])[1]).bit_count(), -worth, name, g or "") for name, worth, g, w0, w1 in made):
+                    if group is None or g not in seen:
+                        rows.append((d, name))
+                        seen.add(g)
+                wanted |= {(q, name, d, i + 1) for i, (d, name) in enumerate(rows[:6])}
+            assert {tuple(r) for r in found.collect()} == wanted
+            assert mask or "Window" not in plan(found)
+    assert search.nearest(queries, table.limit(0), "q", "id").count() == 0 and search.nearest(queries.limit(0), table, "q", "id").count() == 0
