@@ -6,9 +6,10 @@ import itertools
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sigloom.operators import runs, search, sequences
+from sigloom.operators import runs, search, sequences, slices
 
 
 def plan(df):
@@ -85,3 +86,19 @@ def test_nearest_holds_the_best_of_each_query(spark):
             assert {tuple(r) for r in found.collect()} == wanted
             assert mask or "Window" not in plan(found)
     assert search.nearest(queries, table.limit(0), "q", "id").count() == 0 and search.nearest(queries.limit(0), table, "q", "id").count() == 0
+
+
+def test_most_votes_are_counted_in_place(spark, monkeypatch):
+    """The first of each query as ranking all votes gives them, over many blocks, from signatures or lists, also where scores are 0; no pair is grouped."""
+    monkeypatch.setattr(slices, "LISTED", 16)
+    monkeypatch.setattr(slices, "ASKED", 8)
+    rng = np.random.default_rng(8)
+    table = spark.createDataFrame([(int(i) * 3, int(x)) for i, x in enumerate(rng.integers(0, 1 << 20, 90))], "doc_num long, w0 long").cache()
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("votes"), "found"))
+    for radius, queries in ((2, table.where("doc_num % 2 = 0")), (6, table.limit(2))):
+        wanted = {tuple(r) for r in slices.votes(table, 6, radius, queries=queries).withColumn("place", place).where("place <= 5").drop("place").collect()}
+        for index in (None, slices.build(table, 6)):
+            found = slices.most_votes(table, 5, 6, radius, queries=queries, index=index)
+            assert {tuple(r) for r in found.withColumn("place", place).where("place <= 5").drop("place").collect()} == wanted
+            assert "HashAggregate(keys=[query" not in plan(found)
+    assert slices.search(table, 3, 5, 6, 2, queries=table.limit(0)).count() == 0
