@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sigloom.operators import runs, search, sequences, slices
+from sigloom.operators import runs, search, sequences, signatures, slices
 
 
 def plan(df):
@@ -102,3 +102,13 @@ def test_most_votes_are_counted_in_place(spark, monkeypatch):
             assert {tuple(r) for r in found.withColumn("place", place).where("place <= 5").drop("place").collect()} == wanted
             assert "HashAggregate(keys=[query" not in plan(found)
     assert slices.search(table, 3, 5, 6, 2, queries=table.limit(0)).count() == 0
+
+
+def test_common_terms_meet_their_statistics_in_place(spark, monkeypatch):
+    """As a left join gives it, for common, rare and unknown terms; rows of a common term are not shuffled."""
+    monkeypatch.setattr(signatures, "COMMON", 2)
+    each = spark.createDataFrame([(i, t) for i in range(30) for t in ("all", "most", "rare", "none")], "doc_id int, term string")
+    stats = spark.createDataFrame([("all", 30, 40), ("most", 20, 30), ("rare", 3, 3), ("other", 2, 2)], "term string, df long, ctf long")
+    found = signatures.with_stats(each, stats).select("doc_id", "term", "df", "ctf")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, each.join(stats, "term", "left").select("doc_id", "term", "df", "ctf").collect()), key=repr)
+    assert "Union" in plan(found) and "BroadcastHashJoin" in plan(found)
